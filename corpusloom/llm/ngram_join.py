@@ -45,40 +45,30 @@ BLOCK_BYTES = 8 << 20
 PREFIX_ROWS = 1_500_000
 TILE_ROWS = 2048
 MIN_BITS, MAX_BITS = 256, 4096
-MEMO = 200_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
+_SHIFT, _TRUE = np.uint64(31), np.array([True])
 
 
 class Shingler:
     """Sorted distinct shingle hashes of UTF-8 texts."""
 
-    def __init__(self):
-        self.memo: dict[bytes, bytes] = {}
-
     def __call__(self, text: bytes) -> np.ndarray:
         words = text.translate(_LOWER).split()  # bytes.split() parts at [\x20\x09-\x0D]
-        got = list(map(self.memo.get, words))
-        if None in got:
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-            for w in words:
-                if w not in self.memo:
-                    self.memo[w] = xxhash.xxh3_64_digest(w)
-            got = list(map(self.memo.__getitem__, words))
-        h = np.frombuffer(b"".join(got), ">u8").astype(np.uint64)
+        h = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), np.uint64)
         if not len(h):
             return h
         width = min(WIDTH, len(h))
         n = len(h) - width + 1
-        out = np.full(n, width, np.uint64)
-        for k in range(width):
-            out ^= out >> np.uint64(29)
+        out = h[:n] * _MULTIPLIERS[0]
+        for k in range(1, width):
+            out ^= out >> _SHIFT
             out += h[k : k + n] * _MULTIPLIERS[k]
-        out ^= out >> np.uint64(32)
-        out *= np.uint64(0x94D049BB133111EB)
-        out ^= out >> np.uint64(29)
-        return np.unique(out)
+        out ^= out >> _SHIFT
+        out *= _MULTIPLIERS[width - 1]
+        out ^= out >> _SHIFT
+        out.sort()
+        return out[np.concatenate((_TRUE, out[1:] != out[:-1]))]
 
 
 def needed(n: int) -> int:
