@@ -44,7 +44,7 @@ LOOSE = {
         r"(?:(?:\.|\s{0,2}[\[({<]\s?dot\s?[\])}>]\s{0,2}|\s{1,2}(?:dot|DOT)\s{1,2})[A-Za-z0-9-]{1,63}){1,4}"
     ),
     "ip": re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"),
-    "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[./_\xa0]|\s{1,2}|-{1,2})(?:[0-9]{4,6}(?:[./_\xa0]|\s{1,2}|-{1,2})?){1,3}[0-9]{1,7}(?![0-9])|(?<![0-9])[0-9]{13,19}(?![0-9])"),
+    "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[./_\xa0]|\s{1,2}|-{1,2})(?:[0-9]{4,6}(?:[./_\xa0]|\s{1,2}|-{1,2})?){1,3}[0-9]{1,7}(?![0-9])|(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])"),
     "phone": re.compile(r"(?<![0-9A-Za-z])(?:00[0-9]{1,3}[\s./-]?)?\(?[0-9]{2,5}\)?(?:[\s./-]{1,2}[0-9]{2,4}){1,4}(?![0-9A-Za-z])"),
 }
 PRECISION = 0.98
