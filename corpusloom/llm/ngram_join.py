@@ -233,44 +233,63 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
 
-SETS = "doc_id bigint, n int, bits binary, shingles binary"
+BITS = "doc_id bigint, n int, bits binary"
+SETS = "doc_id bigint, shingles binary"
+
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shingle = Shingler()
+    for batch in batches:
+        rows = [(doc_id, len(s), bitmap(s).tobytes()) for doc_id, text in _texts(batch) if len(s := shingle(text))]
+        ids, sizes, bits = zip(*rows, strict=True) if rows else ([], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary())], ["doc_id", "n", "bits"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingle = Shingler()
     for batch in batches:
-        ids, sizes, bits, sets = [], [], [], []
-        for doc_id, text in _texts(batch):
-            s = shingle(text)
-            if len(s):
-                ids.append(doc_id)
-                sizes.append(len(s))
-                bits.append(bitmap(s).tobytes())
-                sets.append(s.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "n", "bits", "shingles"])
+        ids, sets = zip(*((doc_id, shingle(text).tobytes()) for doc_id, text in _texts(batch)), strict=True) if batch.num_rows else ([], [])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) of the rows (a, b, bits and set of a, bits and set of b) that are similar."""
+def _bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of the rows (a, b, n and bits of a, n and bits of b) whose overlap may suffice."""
     for batch in batches:
         ok = []
-        for k in range(batch.num_rows):
-            x, y = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in (3, 5))
-            p, q = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint8) for c in (2, 4))
+        for n, p, m, q in zip(*(batch.column(c).to_pylist() for c in range(2, 6)), strict=True):
+            p, q = np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)
             width = 8 * min(len(p), len(q))
             differ = int(np.bitwise_count(folded(p, width) ^ folded(q, width)).sum())
-            total = len(x) + len(y)
-            ok.append(7 * (total - differ) >= 6 * total and similar(x, y))
+            ok.append(7 * (n + m - differ) >= 6 * (n + m) and 4 * min(n, m) >= 3 * max(n, m))
         keep = pa.array(ok, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The similar ones of distinct pairs (a, b); ``sets`` has the candidates' sets."""
-    one = sets.select(F.col("doc_id").alias("a"), F.col("bits").alias("bits_a"), F.col("shingles").alias("set_a"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("bits").alias("bits_b"), F.col("shingles").alias("set_b"))
-    rows = pairs.join(one, "a").join(two, "b").select("a", "b", "bits_a", "set_a", "bits_b", "set_b")
-    return rows.mapInArrow(_verify, "a bigint, b bigint")
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of the rows (a, b, set of a, set of b) that are similar."""
+    for batch in batches:
+        keep = pa.array([similar(*(np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in (2, 3))) for k in range(batch.num_rows)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+
+def bounded(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """Pairs (a, b) that sizes and bitmaps leave open."""
+    one = bits.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    two = bits.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+    rows = pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
+    return rows.mapInArrow(_bound, "a bigint, b bigint")
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The similar ones of materialised pairs (a, b); only their documents' sets are made and moved."""
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    n = ids.count()
+    if not n:
+        return pairs.filter("false")
+    sets = cut(sized_join(texts, ids, "doc_id", "left_semi", n).mapInArrow(_sets, SETS))
+    one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
+    two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(_verify, "a bigint, b bigint")
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,7 +340,7 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield compare(pa.Table.from_batches(held))
 
 
-def cross_pairs(shared: DataFrame, sets: DataFrame, comps: DataFrame, n_comps: int) -> DataFrame:
+def cross_pairs(shared: DataFrame, bits: DataFrame, comps: DataFrame, n_comps: int) -> DataFrame:
     """Pairs of different components that share a prefix shingle and pass the bounds."""
     known = comps.select(F.col("id").alias("doc_id"), "component")
     rows = sized_join(shared.select("shingle", "doc_id", "n", "pos"), known, "doc_id", "left", n_comps)
@@ -336,7 +355,7 @@ def cross_pairs(shared: DataFrame, sets: DataFrame, comps: DataFrame, n_comps: i
     rows = rows.withColumn("sub", F.pmod(F.xxhash64("doc_id"), F.col("s").cast("long")).cast("int"))
     rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
     rows = rows.select("shingle", "band", F.least("sub", "x").alias("i"), F.greatest("sub", "x").alias("j"), "doc_id", "n", "pos", "comp", "sub", "home")
-    rows = rows.join(sets.select("doc_id", "bits"), "doc_id")
+    rows = rows.join(bits.select("doc_id", "bits"), "doc_id")
     tile = ["shingle", "band", "i", "j"]
     rows = rows.select(*tile, "doc_id", "n", "pos", "comp", "sub", "home", "bits")
     return rows.repartition(partitions(rows.sparkSession), *tile).sortWithinPartitions(*tile).mapInArrow(_tiles, "a bigint, b bigint").distinct()
@@ -370,21 +389,18 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     shared = cut(prefixes.repartition(parts, "shingle").sortWithinPartitions("shingle", "n", "doc_id").mapInArrow(_shared, SHARED))
     wanted = cut(shared.select("doc_id").distinct())
     n_wanted = wanted.count()
-    sets = cut(sized_join(texts, wanted, "doc_id", "left_semi", n_wanted).mapInArrow(_sets, SETS)) if n_wanted else None
-
-    links = twins
-    if sets is not None:
-        stars = shared.filter("doc_id <> center").select(F.least("doc_id", "center").alias("a"), F.greatest("doc_id", "center").alias("b")).distinct()
-        stars = cut(stars)
-        links = cut(twins.unionByName(verified(stars, sets)))
+    if n_wanted:
+        bits = cut(sized_join(texts, wanted, "doc_id", "left_semi", n_wanted).mapInArrow(_bits, BITS))
+        pairs = shared.filter("doc_id <> center").select(F.least("doc_id", "center").alias("a"), F.greatest("doc_id", "center").alias("b")).distinct()
+        stars = cut(bounded(pairs, bits))
+        links = cut(twins.unionByName(verified(stars, texts)))
         comps = cut(components(links))
-        crossing = cross_pairs(shared, sets, comps, comps.count()).join(stars, ["a", "b"], "left_anti")
-        more = cut(verified(crossing, sets))
-        n_more = more.count()
-        if n_more:
+        crossing = cut(cross_pairs(shared, bits, comps, comps.count()).join(stars, ["a", "b"], "left_anti"))
+        more = cut(verified(crossing, texts))
+        if more.count():
             comps = cut(components(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)))
     else:
-        comps = cut(components(links))
+        comps = cut(components(twins))
     known = comps.select(F.col("id").alias("doc_id"), "component")
     out = sized_join(found.select("doc_id", F.col("n").alias("n_shingles")), known, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
