@@ -8,8 +8,8 @@
 3. In each bucket of a shared shingle a greedy size band links to its smallest
    member.  These pairs, linear in the bucket, are verified and joined to
    components, which contracts even a group of a third of the corpus.
-4. What remains are pairs of *different* components within a bucket.  They are
-   compared in size-banded tiles of bounded rows: a tile holds a band and its
+4. What remains are pairs of *different* components within a bucket, after
+   NEAREST_ROUNDS rounds of each document's nearest partner.  They are compared in size-banded tiles of bounded rows: a tile holds a band and its
    upper neighbour, each document with a bitmap of its hashes as wide as the
    band asks for.  Half of (sizes minus differing bits) bounds the overlap from
    above; only pairs that pass are verified by intersecting the sorted arrays.
@@ -44,6 +44,7 @@ LOCAL_DF, HOT_DF, HOT_SHINGLES = 3, 24, 200_000
 BLOCK_BYTES = 8 << 20
 PREFIX_ROWS = 1_500_000
 TILE_ROWS = 2048
+NEAREST_ROUNDS = 2
 MIN_BITS, MAX_BITS = 256, 4096
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -188,7 +189,7 @@ def _prefixes(hot_cast):
     return run
 
 
-SHARED = "shingle bigint, doc_id bigint, n int, pos int, center bigint, nth int"
+SHARED = "shingle bigint, doc_id bigint, n int, pos int, center bigint"
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +212,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             many[:k] = True
         out = []
         if first_known and last[6] == 0:
-            out.append((last[0], last[1], last[2], last[3], last[4], 0))
+            out.append(last[:5])
         state = (last[4], last[5], last[6]) if first_known else (0, 0, 0)
         center, center_n, nth = state
         rows = np.flatnonzero(many)
@@ -222,14 +223,14 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 nth += 1
                 if 3 * nn > 4 * center_n:
                     center, center_n = d, nn
-            out.append((hh, d, nn, p, center, nth))
+            out.append((hh, d, nn, p, center))
         end = len(h) - 1
         if many[end]:
             last = (int(h[end]), int(doc[end]), int(n[end]), int(pos[end]), center, center_n, max(nth, 1) if not (new[end] and not (end == 0 and first_known)) else 0)
         else:
             last = (int(h[end]), int(doc[end]), int(n[end]), int(pos[end]), int(doc[end]), int(n[end]), 0)
         if out:
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
 
@@ -292,8 +293,16 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(_verify, "a bigint, b bigint")
 
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a tile that the bounds leave; rows sorted by tile."""
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _tiles(batches, True)
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], nearest: bool = False) -> Iterator[pa.RecordBatch]:
+    """Pairs of a tile that the bounds leave; rows sorted by tile.
+
+    With ``nearest``, each row of the home band gives only the pair of the
+    smallest share of differing bits.
+    """
     held: list[pa.RecordBatch] = []
     key = None
 
@@ -310,7 +319,8 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not home[k]:
                 continue
             ok = (comp != comp[k]) & (4 * np.minimum(n, n[k]) >= 3 * np.maximum(n, n[k]))
-            ok &= ~home | (np.arange(len(doc)) > k)
+            if not nearest:
+                ok &= ~home | (np.arange(len(doc)) > k)
             if i != j:
                 ok &= sub != sub[k]
             at = np.flatnonzero(ok)
@@ -319,7 +329,10 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = at[7 * (1 + np.minimum(n[at] - pos[at], n[k] - pos[k]) - 1) >= 3 * total]
             total = n[at] + n[k]
             differ = np.bitwise_count(words[at] ^ words[k]).sum(1).astype(np.int64)
-            at = at[7 * (total - differ) >= 6 * total]
+            ok = 7 * (total - differ) >= 6 * total
+            at = at[ok]
+            if nearest and len(at):
+                at = at[[np.argmin(differ[ok] / total[ok])]]
             a += np.minimum(doc[at], doc[k]).tolist()
             b += np.maximum(doc[at], doc[k]).tolist()
         pairs = list(set(zip(a, b, strict=True)))
@@ -340,10 +353,10 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield compare(pa.Table.from_batches(held))
 
 
-def cross_pairs(shared: DataFrame, bits: DataFrame, comps: DataFrame, n_comps: int) -> DataFrame:
-    """Pairs of different components that share a prefix shingle and pass the bounds."""
+def cross_pairs(shared: DataFrame, bits: DataFrame, comps: DataFrame, nearest: bool = False) -> DataFrame:
+    """Pairs of different components that share a prefix shingle and pass the bounds (or of each row the nearest)."""
     known = comps.select(F.col("id").alias("doc_id"), "component")
-    rows = sized_join(shared.select("shingle", "doc_id", "n", "pos"), known, "doc_id", "left", n_comps)
+    rows = sized_join(shared.select("shingle", "doc_id", "n", "pos"), known, "doc_id", "left")
     rows = rows.select("shingle", "doc_id", "n", "pos", F.coalesce("component", "doc_id").alias("comp"))
     # A bucket of two was settled by its star; one of a single component has nothing left to settle.
     open_ = rows.groupBy("shingle").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).filter("x <> y and m > 2")
@@ -358,7 +371,7 @@ def cross_pairs(shared: DataFrame, bits: DataFrame, comps: DataFrame, n_comps: i
     rows = rows.join(bits.select("doc_id", "bits"), "doc_id")
     tile = ["shingle", "band", "i", "j"]
     rows = rows.select(*tile, "doc_id", "n", "pos", "comp", "sub", "home", "bits")
-    return rows.repartition(partitions(rows.sparkSession), *tile).sortWithinPartitions(*tile).mapInArrow(_tiles, "a bigint, b bigint").distinct()
+    return rows.repartition(partitions(rows.sparkSession), *tile).sortWithinPartitions(*tile).mapInArrow(_nearest if nearest else _tiles, "a bigint, b bigint").distinct()
 
 
 def ngram_join(docs: DataFrame) -> DataFrame:
@@ -395,10 +408,13 @@ def ngram_join(docs: DataFrame) -> DataFrame:
         stars = cut(bounded(pairs, bits))
         links = cut(twins.unionByName(verified(stars, texts)))
         comps = cut(components(links))
-        crossing = cut(cross_pairs(shared, bits, comps, comps.count()).join(stars, ["a", "b"], "left_anti"))
-        more = cut(verified(crossing, texts))
-        if more.count():
-            comps = cut(components(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)))
+        # First each row's nearest partner (linear), which joins the groups a star left apart; at last all pairs still open.
+        for nearest in (*[True] * NEAREST_ROUNDS, False):
+            crossing = cut(cross_pairs(shared, bits, comps, nearest).join(stars, ["a", "b"], "left_anti"))
+            more = cut(verified(crossing, texts))
+            if more.count():
+                comps = cut(components(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)))
+            stars = stars.unionByName(crossing)
     else:
         comps = cut(components(twins))
     known = comps.select(F.col("id").alias("doc_id"), "component")
