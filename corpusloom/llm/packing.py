@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,8 +37,9 @@ from .common import cut, sized_join
 
 CAPACITY = 1024
 END_ID = 2
-#: Entries of a worker's memo of encoded words; it is emptied when full.
-MEMO = 250_000
+#: Entries of a worker's memo of encoded words (emptied when full), and the longest word it takes.
+MEMO = 400_000
+MEMO_CHARS = 48
 #: Rounds of multiplicative weights and their learning rate.
 ROUNDS, RATE = 200, 0.3
 
@@ -59,6 +61,7 @@ class Encoder:
     """
 
     _cut = re.compile(r" (?=\S)")
+    _letters = re.compile(r"[^\W\d_]+")
 
     def __init__(self, path: str):
         import os
@@ -68,10 +71,33 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = {}  # of a word with the space before it
+        self.tails: dict[str, bytes] = {}  # of what follows a word's letters, alone
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """Words encoded by their letters and the rest, between which a piece always ends."""
+        parted = {}
+        for w in new:
+            m = self._letters.match(w)
+            n = m.end() if m and m[0].isalpha() else 0
+            parted[w] = (w[:n], w[n:]) if n else (w, "")
+        heads = [h for h in {h for h, _ in parted.values()} if h not in self.memo]
+        tails = [t for t in {t for _, t in parted.values()} if t and t not in self.tails]
+        ids = self._encode([" " + h for h in heads] + tails)
+        found = dict(zip(heads, ids, strict=False))
+        ends = dict(zip(tails, ids[len(heads) :], strict=True))
+        out = {}
+        for w, (h, t) in parted.items():
+            head = found.get(h) or self.memo[h]
+            out[w] = head + (ends.get(t) or self.tails[t]) if t else head
+        for memo, fresh in ((self.memo, found), (self.memo, out), (self.tails, ends)):
+            if len(memo) > MEMO:
+                memo.clear()
+            memo.update(x for x in fresh.items() if len(x[0]) <= MEMO_CHARS)
+        return out
 
     def __call__(self, text: str) -> bytes:
         if any(s in text for s in self.special):
@@ -81,11 +107,10 @@ class Encoder:
         if None in got:
             if any(not w or w[0].isspace() for w, g in zip(rest, got, strict=True) if g is None):
                 head, *rest = self._cut.split(text)
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-            new = list({w for w in rest if w not in self.memo})
-            self.memo.update(zip(new, self._encode([" " + w for w in new]), strict=True))
-            got = list(map(self.memo.__getitem__, rest))
+                got = list(map(self.memo.get, rest))
+            new = {w for w, g in zip(rest, got, strict=True) if g is None}
+            found = self._learn(new) if new else {}
+            got = [found[w] if g is None else g for w, g in zip(rest, got, strict=True)]
         return b"".join(self._encode([head]) + got) if head else b"".join(got)
 
 
