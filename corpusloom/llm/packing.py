@@ -38,7 +38,7 @@ from .common import cut, sized_join
 CAPACITY = 1024
 END_ID = 2
 #: Entries of a worker's memo of encoded words (emptied when full), and the longest word it takes.
-MEMO = 400_000
+MEMO = 700_000
 MEMO_CHARS = 48
 #: Rounds of multiplicative weights and their learning rate.
 ROUNDS, RATE = 200, 0.3
@@ -72,7 +72,7 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}  # of a word with the space before it
-        self.tails: dict[str, bytes] = {}  # of what follows a word's letters, alone
+        self.tails: dict[str, bytes] = {}  # of a text's first word, or what follows a word's letters, alone
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -111,7 +111,14 @@ class Encoder:
             new = {w for w, g in zip(rest, got, strict=True) if g is None}
             found = self._learn(new) if new else {}
             got = [found[w] if g is None else g for w, g in zip(rest, got, strict=True)]
-        return b"".join(self._encode([head]) + got) if head else b"".join(got)
+        if not head:
+            return b"".join(got)
+        first = self.tails.get(head)
+        if first is None:
+            first = self._encode([head])[0]
+            if len(head) <= MEMO_CHARS and len(self.tails) < MEMO:
+                self.tails[head] = first
+        return first + b"".join(got)
 
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, nth bigint"
