@@ -9,7 +9,9 @@ over its words, under equal priors.
 The fit uses at most SAMPLE_DOCS labelled documents (those with the smallest
 hash of the id) and of them the WORDS most frequent words of each language;
 scoring reads every whole text.  Words are maximal runs of letters in lower
-case; letters that no piece covers count as an unknown piece each.
+case; letters that no piece covers count as an unknown piece each.  A word of
+more than LONGEST_WORD letters is scored as consecutive stretches of that many,
+so that all of it counts and a product of probabilities cannot underflow.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0;
 ties go to the language first in order; without any labelled row every text is
@@ -63,6 +65,11 @@ def letters(word: bytes) -> str:
     return "".join(c for c in word.decode(errors="ignore") if c.isalpha())
 
 
+def parts(word: str) -> list[str]:
+    """The whole word, marked at its start, in stretches of at most LONGEST_WORD letters."""
+    return [(START if k == 0 else "") + word[k : k + LONGEST_WORD] for k in range(0, len(word), LONGEST_WORD)]
+
+
 class Lattice:
     """Words of one length with the number of every piece that ends at each place."""
 
@@ -156,7 +163,7 @@ def train(docs: DataFrame, vocabulary_path: str | None = None) -> Model:
             seen: dict[str, Counter] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 seen.setdefault(lang, Counter()).update(words(text.as_py()))
-            out = [(lang, word, n) for lang, c in seen.items() for w, n in c.items() if (word := letters(w)[:LONGEST_WORD])]
+            out = [(lang, part, n) for lang, c in seen.items() for w, n in c.items() for part in parts(letters(w))]
             columns = list(zip(*out, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], ["lang", "word", "n"])
 
@@ -167,7 +174,7 @@ def train(docs: DataFrame, vocabulary_path: str | None = None) -> Model:
     top = counted.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("r") <= WORDS)
     counts: dict[str, dict[str, int]] = {}
     for row in top.orderBy("lang", "r").limit(LANGUAGES * WORDS).collect():
-        counts.setdefault(row.lang, {})[START + row.word] = row.n
+        counts.setdefault(row.lang, {})[row.word] = row.n
     return fit(counts, vocabulary(vocabulary_path or default_vocabulary()))
 
 
@@ -188,12 +195,14 @@ class Scorer:
             if len(new) >= len(self.table):
                 self.table = np.zeros((len(new) + 1, self.table.shape[1]))
         if new:
-            clean = [letters(w)[:LONGEST_WORD] for w in new]
-            keep = [START + w for w in clean if w]
+            clean = [(w, parts(letters(w))) for w in new]
+            keep = [(w, p) for w, p in clean if p]
             end = self.used + len(keep)
-            self.table[self.used : end] = self.model.log_probabilities(keep)
-            number = iter(range(self.used, end))
-            self.memo.update((w, next(number) if c else 0) for w, c in zip(new, clean, strict=True))
+            logs = self.model.log_probabilities([x for _, p in keep for x in p])
+            if keep:
+                self.table[self.used : end] = np.add.reduceat(logs, np.cumsum([0, *(len(p) for _, p in keep[:-1])]))
+            self.memo.update((w, 0) for w, p in clean if not p)
+            self.memo.update((w, k) for k, (w, _) in enumerate(keep, self.used))
             self.used = end
         out: list[np.ndarray | None] = []
         for ws in found:

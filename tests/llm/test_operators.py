@@ -268,6 +268,13 @@ def test_language_id(spark):
     assert all(got[i].lang_pred == lang for i, _, lang in rows[:80]) and got[103].lang_pred == "yy"
     assert all((got[i].lang_pred, got[i].score) == ("und", 0.0) for i in (100, 101, 102))
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got.values())
+    model = language_id.train(docs)
+    scorer = language_id.Scorer(model)
+    long = "ab" * 70  # far over LONGEST_WORD: every stretch counts
+    whole, cut = scorer.block([long, long[:40]])
+    assert whole is not None and cut is not None and not np.allclose(whole, cut)
+    assert [len(x.removeprefix(language_id.START)) for x in language_id.parts(long)] == [40, 40, 40, 20]
+    assert np.allclose(whole, model.log_probabilities(language_id.parts(long)).sum(0))
     assert language_id.identify(docs.filter("false")).count() == 0
     assert {r.lang_pred for r in language_id.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
