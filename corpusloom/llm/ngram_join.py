@@ -293,73 +293,127 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(_verify, "a bigint, b bigint")
 
 
+TILE = "shingle bigint, band int, i int, j int, doc_id bigint, n int, pos int, comp bigint, sub int, home boolean, bits binary"
+#: Cells of a tile compared at once, and pairs a task remembers not to send again.
+CELLS, SENT = 65_536, 400_000
+
+
+def _compare(tile: dict[str, np.ndarray], bits: list[bytes], nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b) of one tile that sizes, positions and bitmaps leave open."""
+    doc, n, pos, comp, sub, home = (tile[c] for c in ("doc_id", "n", "pos", "comp", "sub", "home"))
+    apart = tile["i"][0] != tile["j"][0]
+    mine, place = np.flatnonzero(home), np.arange(len(doc))
+    words, found = None, []
+    for start in range(0, len(mine), max(1, CELLS // len(doc))):
+        k = mine[start : start + max(1, CELLS // len(doc))]
+        rest = n - pos
+        small, total = np.minimum(n[k, None], n), n[k, None] + n
+        ok = (comp[k, None] != comp) & (7 * small >= 3 * total)
+        if not nearest:
+            ok &= ~home | (place > k[:, None])
+        if apart:
+            ok &= sub[k, None] != sub
+        # If this is their first common shingle, no more can follow than the shorter rest.
+        ok &= 7 * np.minimum(rest[k, None], rest) >= 3 * total
+        r, c = np.nonzero(ok)
+        if not len(r):
+            continue
+        if words is None:
+            width = bits_of_band(int(tile["band"][0]))
+            rows = [b if 8 * len(b) == width else folded(np.frombuffer(b, np.uint8), width).tobytes() for b in bits]
+            width = min(width, 8 * min(map(len, rows)))
+            words = np.frombuffer(b"".join(rows), np.uint64).reshape(len(rows), width // 64)
+        sums = total[r, c]
+        differ = np.bitwise_count(words[k[r]] ^ words[c]).sum(1).astype(np.int64)
+        at = np.flatnonzero(7 * (sums - differ) >= 6 * sums)
+        if nearest and len(at):
+            at = at[np.lexsort((differ[at] / sums[at], r[at]))]
+            at = at[np.unique(r[at], return_index=True)[1]]
+        found.append((doc[k[r[at]]], doc[c[at]]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    one, two = (np.concatenate(x) for x in zip(*found, strict=True))
+    return np.minimum(one, two), np.maximum(one, two)
+
+
 def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return _tiles(batches, True)
 
 
 def _tiles(batches: Iterator[pa.RecordBatch], nearest: bool = False) -> Iterator[pa.RecordBatch]:
-    """Pairs of a tile that the bounds leave; rows sorted by tile.
+    """Pairs of each tile that the bounds leave; rows sorted by tile.
 
     With ``nearest``, each row of the home band gives only the pair of the
-    smallest share of differing bits.
+    smallest share of differing bits.  A pair that several tiles of a task
+    find is sent once (as long as it is remembered).
     """
-    held: list[pa.RecordBatch] = []
-    key = None
-
-    def compare(rows: pa.Table) -> pa.RecordBatch:
-        doc, n, pos, comp, sub = (rows.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "n", "pos", "comp", "sub"))
-        home = rows.column("home").to_numpy(zero_copy_only=False)
-        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-        width = bits_of_band(rows.column("band")[0].as_py())
-        bits = np.stack([folded(np.frombuffer(b, np.uint8), width) for b in rows.column("bits").to_pylist()])
-        width = bits.shape[1]
-        words = np.ascontiguousarray(bits).view(np.uint64)
-        a, b = [], []
-        for k in range(len(doc)):
-            if not home[k]:
-                continue
-            ok = (comp != comp[k]) & (4 * np.minimum(n, n[k]) >= 3 * np.maximum(n, n[k]))
-            if not nearest:
-                ok &= ~home | (np.arange(len(doc)) > k)
-            if i != j:
-                ok &= sub != sub[k]
-            at = np.flatnonzero(ok)
-            total = n[at] + n[k]
-            # If this is their first common shingle, no more can follow than the shorter rest.
-            at = at[7 * (1 + np.minimum(n[at] - pos[at], n[k] - pos[k]) - 1) >= 3 * total]
-            total = n[at] + n[k]
-            differ = np.bitwise_count(words[at] ^ words[k]).sum(1).astype(np.int64)
-            ok = 7 * (total - differ) >= 6 * total
-            at = at[ok]
-            if nearest and len(at):
-                at = at[[np.argmin(differ[ok] / total[ok])]]
-            a += np.minimum(doc[at], doc[k]).tolist()
-            b += np.maximum(doc[at], doc[k]).tolist()
-        pairs = list(set(zip(a, b, strict=True)))
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+    names = [x.split()[0] for x in TILE.split(", ")][:-1]
+    keys = names[:4]
+    held: list[tuple[dict[str, np.ndarray], list[bytes]]] = []
+    sent: set[tuple[int, int]] = set()
+
+    def compare(parts: list[tuple[dict[str, np.ndarray], list[bytes]]]) -> set[tuple[int, int]]:
+        tile = parts[0][0] if len(parts) == 1 else {c: np.concatenate([p[0][c] for p in parts]) for c in names}
+        bits = [b for _, part in parts for b in part]
+        return set(zip(*(x.tolist() for x in _compare(tile, bits, nearest)), strict=True))
+
+    def send(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
+        if len(sent) > SENT:
+            sent.clear()
+        new = list(pairs - sent)
+        sent.update(new)
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in new], pa.int64()), pa.array([p[1] for p in new], pa.int64())], ["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = np.stack([batch.column(c).to_numpy() for c in ("shingle", "band", "i", "j")], 1)
-        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+        columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
+        columns = {c: v if c == "home" else v.astype(np.int64) for c, v in columns.items()}
+        bits = batch.column("bits").to_pylist()
+        new = np.zeros(len(bits) - 1, bool)
+        for c in keys:
+            new |= columns[c][1:] != columns[c][:-1]
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(bits)]
+        pairs: set[tuple[int, int]] = set()
         for lo, hi in zip(cuts, cuts[1:], strict=False):
-            if held and key != tuple(keys[lo]):
-                yield compare(pa.Table.from_batches(held))
+            part = {c: v[lo:hi] for c, v in columns.items()}
+            if held and any(held[0][0][c][0] != part[c][0] for c in keys):
+                pairs |= compare(held)
                 held = []
-            key = tuple(keys[lo])
-            held.append(batch.slice(lo, hi - lo))
+            held.append((part, bits[lo:hi]))
+        yield send(pairs)
     if held:
-        yield compare(pa.Table.from_batches(held))
+        yield send(compare(held))
 
 
-def cross_pairs(shared: DataFrame, bits: DataFrame, comps: DataFrame, nearest: bool = False) -> DataFrame:
-    """Pairs of different components that share a prefix shingle and pass the bounds (or of each row the nearest)."""
+def open_buckets(shared: DataFrame, comps: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several components, of buckets with the same documents only the first.
+
+    Components only ever grow together, so that later rounds need no other rows.
+    The order of shingles is the same for all documents: of equal buckets the
+    first has the smallest positions, and the first bucket two documents share is
+    never the one that goes.
+    """
+    rows = _placed(shared, comps)
+    mark = [F.sum(F.xxhash64("doc_id", F.lit(seed)).bitwiseAND(F.lit((1 << 40) - 1))).alias(f"mark_{seed}") for seed in (1, 2)]
+    ends = [F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("pos").alias("last")]
+    buckets = rows.groupBy("shingle").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m"), *mark, *ends)
+    # A bucket of two was settled by its star; one of a single component has nothing left to settle.
+    buckets = buckets.filter("x <> y and m > 2")
+    first = buckets.groupBy("m", "mark_1", "mark_2", "low", "high").agg(F.min(F.struct("last", "shingle")).alias("first"))
+    return rows.join(first.select(F.col("first.shingle").alias("shingle")), "shingle", "left_semi").select("shingle", "doc_id", "n", "pos")
+
+
+def _placed(shared: DataFrame, comps: DataFrame) -> DataFrame:
     known = comps.select(F.col("id").alias("doc_id"), "component")
     rows = sized_join(shared.select("shingle", "doc_id", "n", "pos"), known, "doc_id", "left")
-    rows = rows.select("shingle", "doc_id", "n", "pos", F.coalesce("component", "doc_id").alias("comp"))
-    # A bucket of two was settled by its star; one of a single component has nothing left to settle.
-    open_ = rows.groupBy("shingle").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).filter("x <> y and m > 2")
+    return rows.select("shingle", "doc_id", "n", "pos", F.coalesce("component", "doc_id").alias("comp"))
+
+
+def cross_pairs(shared: DataFrame, bits: DataFrame, comps: DataFrame, nearest: bool = False) -> DataFrame:
+    """Pairs of different components that share a prefix shingle and pass the bounds (or of each row the nearest)."""
+    rows = _placed(shared, comps)
+    open_ = rows.groupBy("shingle").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y")
     k = F.floor(F.log(F.col("n")) / F.log(F.lit(4 / 3)) + 1e-9).cast("int")
     rows = rows.join(open_.select("shingle"), "shingle", "left_semi").withColumn("k", k)
     rows = rows.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("home")).withColumn("band", F.when(F.col("home"), F.col("k")).otherwise(F.col("k") - 1))
@@ -408,6 +462,7 @@ def ngram_join(docs: DataFrame) -> DataFrame:
         stars = cut(bounded(pairs, bits))
         links = cut(twins.unionByName(verified(stars, texts)))
         comps = cut(components(links))
+        shared = cut(open_buckets(shared, comps))
         # First each row's nearest partner (linear), which joins the groups a star left apart; at last all pairs still open.
         for nearest in (*[True] * NEAREST_ROUNDS, False):
             crossing = cut(cross_pairs(shared, bits, comps, nearest).join(stars, ["a", "b"], "left_anti"))
