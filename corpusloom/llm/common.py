@@ -7,6 +7,7 @@ the folder the session names in ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +34,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have executors drop the files of shuffles and checkpoints that nothing refers to any more.
+
+    Spark does so after a collection of the driver's heap, which may be half an
+    hour away; long chains of jobs would hold all their shuffles until then.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

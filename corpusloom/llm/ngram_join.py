@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, partitions, sized_join, skew_safe_lookup
+from .common import BROADCAST_ROWS, cut, partitions, release, sized_join, skew_safe_lookup
 from .components import components
 
 WIDTH = 5
@@ -454,6 +454,7 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     parts = max(partitions(spark), int(total / PREFIX_ROWS) + 1)
     prefixes = firsts.mapInArrow(_prefixes(hot_cast), "shingle bigint, doc_id bigint, n int, pos int")
     shared = cut(prefixes.repartition(parts, "shingle").sortWithinPartitions("shingle", "n", "doc_id").mapInArrow(_shared, SHARED))
+    release(spark)
     wanted = cut(shared.select("doc_id").distinct())
     n_wanted = wanted.count()
     if n_wanted:
@@ -463,6 +464,7 @@ def ngram_join(docs: DataFrame) -> DataFrame:
         links = cut(twins.unionByName(verified(stars, texts)))
         comps = cut(components(links))
         shared = cut(open_buckets(shared, comps))
+        release(spark)
         # First each row's nearest partner (linear), which joins the groups a star left apart; at last all pairs still open.
         for nearest in (*[True] * NEAREST_ROUNDS, False):
             crossing = cut(cross_pairs(shared, bits, comps, nearest).join(stars, ["a", "b"], "left_anti"))
@@ -470,6 +472,7 @@ def ngram_join(docs: DataFrame) -> DataFrame:
             if more.count():
                 comps = cut(components(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)))
             stars = stars.unionByName(crossing)
+            release(spark)
     else:
         comps = cut(components(twins))
     known = comps.select(F.col("id").alias("doc_id"), "component")
