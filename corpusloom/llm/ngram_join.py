@@ -45,7 +45,7 @@ BLOCK_BYTES = 8 << 20
 PREFIX_ROWS = 1_500_000
 TILE_ROWS = 2048
 NEAREST_ROUNDS = 2
-MIN_BITS, MAX_BITS = 256, 4096
+MIN_BITS, MAX_BITS, WIDE_BITS = 256, 4096, 1 << 20
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 _SHIFT, _TRUE = np.uint64(31), np.array([True])
@@ -235,7 +235,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 BITS = "doc_id bigint, n int, bits binary"
-SETS = "doc_id bigint, shingles binary"
+SETS = "doc_id bigint, n int, bits binary, shingles binary"
 
 
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,24 +246,40 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary())], ["doc_id", "n", "bits"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shingle = Shingler()
+def wide_bitmap(shingles: np.ndarray) -> bytes:
+    """Sixteen bits and more for each hash (up to WIDE_BITS), a quarter of the set's bytes."""
+    bits = np.zeros(min(WIDE_BITS, 1 << (16 * len(shingles)).bit_length()), np.uint8)
+    bits[(shingles & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _sets(batches: Iterator[pa.RecordBatch], screen: bool = False) -> Iterator[pa.RecordBatch]:
+    shingle, names = Shingler(), [x.split()[0] for x in SETS.split(", ")]
     for batch in batches:
-        ids, sets = zip(*((doc_id, shingle(text).tobytes()) for doc_id, text in _texts(batch)), strict=True) if batch.num_rows else ([], [])
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+        rows = [(doc_id, len(s), wide_bitmap(s) if screen else b"", s.tobytes()) for doc_id, text in _texts(batch) for s in [shingle(text)]]
+        columns = zip(*rows, strict=True) if rows else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names)
+
+
+def _screened_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _sets(batches, True)
+
+
+BOUNDED = "a bigint, b bigint, share double"
 
 
 def _bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) of the rows (a, b, n and bits of a, n and bits of b) whose overlap may suffice."""
+    """(a, b, share of differing bits) of the rows (a, b, n and bits of a, n and bits of b) whose overlap may suffice."""
     for batch in batches:
-        ok = []
+        ok, share = [], []
         for n, p, m, q in zip(*(batch.column(c).to_pylist() for c in range(2, 6)), strict=True):
             p, q = np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)
             width = 8 * min(len(p), len(q))
             differ = int(np.bitwise_count(folded(p, width) ^ folded(q, width)).sum())
             ok.append(7 * (n + m - differ) >= 6 * (n + m) and 4 * min(n, m) >= 3 * max(n, m))
+            share.append(differ / (n + m))
         keep = pa.array(ok, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([x.filter(keep) for x in (batch.column(0), batch.column(1), pa.array(share, pa.float64()))], ["a", "b", "share"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,23 +290,43 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def bounded(pairs: DataFrame, bits: DataFrame) -> DataFrame:
-    """Pairs (a, b) that sizes and bitmaps leave open."""
+    """Pairs (a, b, share of differing bits) that sizes and bitmaps leave open."""
     one = bits.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
     two = bits.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
     rows = pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
-    return rows.mapInArrow(_bound, "a bigint, b bigint")
+    return rows.mapInArrow(_bound, BOUNDED)
+
 
+def verified(pairs: DataFrame, texts: DataFrame, screen: bool = False) -> DataFrame:
+    """The similar ones of materialised pairs (a, b); only their documents' sets are made and moved.
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The similar ones of materialised pairs (a, b); only their documents' sets are made and moved."""
+    With ``screen`` (for pairs of which few are similar), wide bitmaps rule out
+    most pairs before a set moves.
+    """
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     n = ids.count()
     if not n:
-        return pairs.filter("false")
-    sets = cut(sized_join(texts, ids, "doc_id", "left_semi", n).mapInArrow(_sets, SETS))
+        return pairs.select("a", "b").filter("false")
+    sets = cut(sized_join(texts, ids, "doc_id", "left_semi", n).mapInArrow(_screened_sets if screen else _sets, SETS))
+    left = cut(bounded(pairs.select("a", "b"), sets)) if screen else pairs
     one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(_verify, "a bigint, b bigint")
+    if screen:  # sets that no pair asks for any more stay where they are
+        m = left.count()
+        one, two = (sized_join(x, left.select(c).distinct(), c, "left_semi", m) for x, c in ((one, "a"), (two, "b")))
+    return left.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(_verify, "a bigint, b bigint")
+
+
+def settled(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of known components and more links."""
+    return cut(components(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links)))
+
+
+def between(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose documents are not in one component yet."""
+    for c in ("a", "b"):
+        pairs = sized_join(pairs, comps.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}")), c, "left")
+    return pairs.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
 
 
 TILE = "shingle bigint, band int, i int, j int, doc_id bigint, n int, pos int, comp bigint, sub int, home boolean, bits binary"
@@ -461,16 +497,23 @@ def ngram_join(docs: DataFrame) -> DataFrame:
         bits = cut(sized_join(texts, wanted, "doc_id", "left_semi", n_wanted).mapInArrow(_bits, BITS))
         pairs = shared.filter("doc_id <> center").select(F.least("doc_id", "center").alias("a"), F.greatest("doc_id", "center").alias("b")).distinct()
         stars = cut(bounded(pairs, bits))
-        links = cut(twins.unionByName(verified(stars, texts)))
-        comps = cut(components(links))
+        # Each document's nearest centre first; then only star pairs that this leaves between two components.
+        best = cut(stars.groupBy("b").agg(F.min(F.struct("share", "a")).alias("x")).select(F.col("x.a").alias("a"), "b"))
+        comps = cut(components(cut(twins.unionByName(verified(best, texts)))))
+        stars = stars.select("a", "b")
+        rest = cut(between(stars.join(best, ["a", "b"], "left_anti"), comps))
+        more = cut(verified(rest, texts, True))
+        if more.count():
+            comps = settled(comps, more)
+        release(spark)
         shared = cut(open_buckets(shared, comps))
         release(spark)
         # First each row's nearest partner (linear), which joins the groups a star left apart; at last all pairs still open.
         for nearest in (*[True] * NEAREST_ROUNDS, False):
             crossing = cut(cross_pairs(shared, bits, comps, nearest).join(stars, ["a", "b"], "left_anti"))
-            more = cut(verified(crossing, texts))
+            more = cut(verified(crossing, texts, True))
             if more.count():
-                comps = cut(components(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)))
+                comps = settled(comps, more)
             stars = stars.unionByName(crossing)
             release(spark)
     else:
