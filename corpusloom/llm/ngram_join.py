@@ -9,8 +9,9 @@
    member.  These pairs, linear in the bucket, are verified and joined to
    components, which contracts even a group of a third of the corpus.
 4. What remains are pairs of *different* components within a bucket, after
-   NEAREST_ROUNDS rounds of each document's nearest partner.  They are compared in size-banded tiles of bounded rows: a tile holds a band and its
-   upper neighbour, each document with a bitmap of its hashes as wide as the
+   NEAREST_ROUNDS rounds of each document's nearest partner.  A later round reads
+   only the buckets in which an earlier one left a pair out.  Pairs are compared
+   in size-banded tiles of bounded rows: a tile holds a band and its upper neighbour, each document with a bitmap of its hashes as wide as the
    band asks for.  Half of (sizes minus differing bits) bounds the overlap from
    above; only pairs that pass are verified by intersecting the sorted arrays.
 
@@ -334,12 +335,12 @@ TILE = "shingle bigint, band int, i int, j int, doc_id bigint, n int, pos int, c
 CELLS, SENT = 65_536, 400_000
 
 
-def _compare(tile: dict[str, np.ndarray], bits: list[bytes], nearest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (a, b) of one tile that sizes, positions and bitmaps leave open."""
+def _compare(tile: dict[str, np.ndarray], bits: list[bytes], nearest: bool) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs (a, b) of one tile that sizes, positions and bitmaps leave open, and whether ``nearest`` left some of them out."""
     doc, n, pos, comp, sub, home = (tile[c] for c in ("doc_id", "n", "pos", "comp", "sub", "home"))
     apart = tile["i"][0] != tile["j"][0]
     mine, place = np.flatnonzero(home), np.arange(len(doc))
-    words, found = None, []
+    words, found, partial = None, [], False
     for start in range(0, len(mine), max(1, CELLS // len(doc))):
         k = mine[start : start + max(1, CELLS // len(doc))]
         rest = n - pos
@@ -363,13 +364,15 @@ def _compare(tile: dict[str, np.ndarray], bits: list[bytes], nearest: bool) -> t
         differ = np.bitwise_count(words[k[r]] ^ words[c]).sum(1).astype(np.int64)
         at = np.flatnonzero(7 * (sums - differ) >= 6 * sums)
         if nearest and len(at):
+            open_pairs = len(at)
             at = at[np.lexsort((differ[at] / sums[at], r[at]))]
             at = at[np.unique(r[at], return_index=True)[1]]
+            partial |= len(at) < open_pairs
         found.append((doc[k[r[at]]], doc[c[at]]))
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), False
     one, two = (np.concatenate(x) for x in zip(*found, strict=True))
-    return np.minimum(one, two), np.maximum(one, two)
+    return np.minimum(one, two), np.maximum(one, two), partial
 
 
 def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,7 +383,8 @@ def _tiles(batches: Iterator[pa.RecordBatch], nearest: bool = False) -> Iterator
     """Pairs of each tile that the bounds leave; rows sorted by tile.
 
     With ``nearest``, each row of the home band gives only the pair of the
-    smallest share of differing bits.  A pair that several tiles of a task
+    smallest share of differing bits, and a row (null, null, shingle) names a
+    bucket in which that left a pair out.  A pair that several tiles of a task
     find is sent once (as long as it is remembered).
     """
     names = [x.split()[0] for x in TILE.split(", ")][:-1]
@@ -388,17 +392,25 @@ def _tiles(batches: Iterator[pa.RecordBatch], nearest: bool = False) -> Iterator
     held: list[tuple[dict[str, np.ndarray], list[bytes]]] = []
     sent: set[tuple[int, int]] = set()
 
+    again: set[int] = set()
+
     def compare(parts: list[tuple[dict[str, np.ndarray], list[bytes]]]) -> set[tuple[int, int]]:
         tile = parts[0][0] if len(parts) == 1 else {c: np.concatenate([p[0][c] for p in parts]) for c in names}
         bits = [b for _, part in parts for b in part]
-        return set(zip(*(x.tolist() for x in _compare(tile, bits, nearest)), strict=True))
+        one, two, partial = _compare(tile, bits, nearest)
+        if partial:
+            again.add(int(tile["shingle"][0]))
+        return set(zip(one.tolist(), two.tolist(), strict=True))
 
     def send(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
         if len(sent) > SENT:
             sent.clear()
         new = list(pairs - sent)
         sent.update(new)
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in new], pa.int64()), pa.array([p[1] for p in new], pa.int64())], ["a", "b"])
+        marks = list(again)
+        again.clear()
+        columns = ([*(p[0] for p in new), *[None] * len(marks)], [*(p[1] for p in new), *[None] * len(marks)], [*[None] * len(new), *marks])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "shingle"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -447,13 +459,16 @@ def _placed(shared: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def cross_pairs(shared: DataFrame, bits: DataFrame, comps: DataFrame, nearest: bool = False) -> DataFrame:
-    """Pairs of different components that share a prefix shingle and pass the bounds (or of each row the nearest)."""
+    """Pairs (a, b, null) of different components that share a prefix shingle and pass the bounds.
+
+    With ``nearest``: of each row the nearest, and (null, null, shingle) for the buckets in which other pairs are left.
+    """
     rows = _placed(shared, comps)
     open_ = rows.groupBy("shingle").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y")
     k = F.floor(F.log(F.col("n")) / F.log(F.lit(4 / 3)) + 1e-9).cast("int")
     rows = rows.join(open_.select("shingle"), "shingle", "left_semi").withColumn("k", k)
     rows = rows.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("home")).withColumn("band", F.when(F.col("home"), F.col("k")).otherwise(F.col("k") - 1))
-    sizes = rows.groupBy("shingle", "band").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("s"), F.max("home").alias("any"), F.count("*").alias("m")).filter("any and m > 1")
+    sizes = rows.groupBy("shingle", "band").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("s"), F.max("home").alias("any"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("any and x <> y")
     rows = rows.join(sizes.select("shingle", "band", "s"), ["shingle", "band"])
     rows = rows.withColumn("sub", F.pmod(F.xxhash64("doc_id"), F.col("s").cast("long")).cast("int"))
     rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
@@ -461,7 +476,7 @@ def cross_pairs(shared: DataFrame, bits: DataFrame, comps: DataFrame, nearest: b
     rows = rows.join(bits.select("doc_id", "bits"), "doc_id")
     tile = ["shingle", "band", "i", "j"]
     rows = rows.select(*tile, "doc_id", "n", "pos", "comp", "sub", "home", "bits")
-    return rows.repartition(partitions(rows.sparkSession), *tile).sortWithinPartitions(*tile).mapInArrow(_nearest if nearest else _tiles, "a bigint, b bigint").distinct()
+    return rows.repartition(partitions(rows.sparkSession), *tile).sortWithinPartitions(*tile).mapInArrow(_nearest if nearest else _tiles, "a bigint, b bigint, shingle bigint").distinct()
 
 
 def ngram_join(docs: DataFrame) -> DataFrame:
@@ -510,11 +525,17 @@ def ngram_join(docs: DataFrame) -> DataFrame:
         release(spark)
         # First each row's nearest partner (linear), which joins the groups a star left apart; at last all pairs still open.
         for nearest in (*[True] * NEAREST_ROUNDS, False):
-            crossing = cut(cross_pairs(shared, bits, comps, nearest).join(stars, ["a", "b"], "left_anti"))
+            found_pairs = cut(cross_pairs(shared, bits, comps, nearest))
+            crossing = cut(found_pairs.filter("a is not null").select("a", "b").join(stars, ["a", "b"], "left_anti"))
             more = cut(verified(crossing, texts, True))
             if more.count():
                 comps = settled(comps, more)
             stars = stars.unionByName(crossing)
+            again = cut(found_pairs.filter("shingle is not null").select("shingle"))
+            n_again = again.count()
+            if not n_again:
+                break
+            shared = cut(sized_join(shared, again, "shingle", "left_semi", n_again))
             release(spark)
     else:
         comps = cut(components(twins))
