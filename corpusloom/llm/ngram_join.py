@@ -236,7 +236,12 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 BITS = "doc_id bigint, n int, bits binary"
-SETS = "doc_id bigint, n int, bits binary, shingles binary"
+#: A set or wide bitmap on its way to document ``a``; ``b`` is null for those of ``a`` itself.
+MOVED = "a bigint, sub int, b bigint, n int, body binary"
+#: Partners of one document that a task verifies against one copy of its set.
+FAN = 64
+#: Places one copy of a text is read for, and bytes of a batch of what is made of texts.
+PLACES, MOVED_BYTES = 1024, 4 << 20
 
 
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,40 +259,81 @@ def wide_bitmap(shingles: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def _sets(batches: Iterator[pa.RecordBatch], screen: bool = False) -> Iterator[pa.RecordBatch]:
-    shingle, names = Shingler(), [x.split()[0] for x in SETS.split(", ")]
-    for batch in batches:
-        rows = [(doc_id, len(s), wide_bitmap(s) if screen else b"", s.tobytes()) for doc_id, text in _texts(batch) for s in [shingle(text)]]
-        columns = zip(*rows, strict=True) if rows else [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names)
+def _bodies(make):
+    """Rows of MOVED, in batches of bounded bytes, from rows (text, places); ``make`` turns a set into bytes."""
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["a", "sub", "b", "n", "body"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler()
+        for batch in batches:
+            rows, size = [], 0
+            for text, places in zip(batch.column(0).cast(pa.binary()), batch.column(1), strict=True):
+                s = shingle(text.as_py() or b"")
+                body = make(s)
+                for place in places.as_py():
+                    rows.append((place["a"], place["sub"], place["b"], len(s), body))
+                    size += len(body)
+                    if size > MOVED_BYTES:
+                        yield table(rows)
+                        rows, size = [], 0
+            yield table(rows)
 
-def _screened_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _sets(batches, True)
+    return run
 
 
 BOUNDED = "a bigint, b bigint, share double"
 
 
+def share(n: int, p: bytes, m: int, q: bytes) -> float | None:
+    """The share of differing bits of two bitmaps; None if the overlap cannot suffice."""
+    one, two = np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)
+    width = 8 * min(len(one), len(two))
+    differ = int(np.bitwise_count(folded(one, width) ^ folded(two, width)).sum())
+    return differ / (n + m) if 7 * (n + m - differ) >= 6 * (n + m) and 4 * min(n, m) >= 3 * max(n, m) else None
+
+
 def _bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, share of differing bits) of the rows (a, b, n and bits of a, n and bits of b) whose overlap may suffice."""
     for batch in batches:
-        ok, share = [], []
-        for n, p, m, q in zip(*(batch.column(c).to_pylist() for c in range(2, 6)), strict=True):
-            p, q = np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)
-            width = 8 * min(len(p), len(q))
-            differ = int(np.bitwise_count(folded(p, width) ^ folded(q, width)).sum())
-            ok.append(7 * (n + m - differ) >= 6 * (n + m) and 4 * min(n, m) >= 3 * max(n, m))
-            share.append(differ / (n + m))
-        keep = pa.array(ok, pa.bool_())
-        yield pa.RecordBatch.from_arrays([x.filter(keep) for x in (batch.column(0), batch.column(1), pa.array(share, pa.float64()))], ["a", "b", "share"])
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) of the rows (a, b, set of a, set of b) that are similar."""
-    for batch in batches:
-        keep = pa.array([similar(*(np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in (2, 3))) for k in range(batch.num_rows)], pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+        shares = pa.array([share(*row) for row in zip(*(batch.column(c).to_pylist() for c in range(2, 6)), strict=True)], pa.float64())
+        keep = shares.is_valid()
+        yield pa.RecordBatch.from_arrays([x.filter(keep) for x in (batch.column(0), batch.column(1), shares)], ["a", "b", "share"])
+
+
+def _set(shingles: np.ndarray) -> bytes:
+    return shingles.tobytes()
+
+
+def may_fit(n: int, p: bytes, m: int, q: bytes) -> bool:
+    return share(n, p, m, q) is not None
+
+
+def fit(n: int, p: bytes, m: int, q: bytes) -> bool:
+    return similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64))
+
+
+def _against(test):
+    """(a, b) that pass ``test``, from rows of MOVED sorted by (a, sub, b) with nulls first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own = None, []
+        for batch in batches:
+            found = []
+            for k, (a, sub, b, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
+                if (a, sub) != key:
+                    key, own = (a, sub), []
+                body = batch.column(4)[k].as_py()
+                if b is None:
+                    own.append((n, body))
+                elif any(test(*x, n, body) for x in own):
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], ["a", "b"])
+
+    return run
 
 
 def bounded(pairs: DataFrame, bits: DataFrame) -> DataFrame:
@@ -298,24 +344,37 @@ def bounded(pairs: DataFrame, bits: DataFrame) -> DataFrame:
     return rows.mapInArrow(_bound, BOUNDED)
 
 
+def confronted(pairs: DataFrame, texts: DataFrame, make, test) -> DataFrame:
+    """The materialised pairs (a, b) that pass ``test`` on what ``make`` gives of their sets.
+
+    What is made of ``b`` moves once to each ``a``, and that of ``a`` once for
+    every FAN partners, so that no document's partners meet in one task.
+    """
+    fan = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).alias("s"))
+    placed = pairs.join(fan, "a").select("a", F.pmod(F.xxhash64("b"), F.col("s")).cast("int").alias("sub"), "b")
+    own = placed.select(F.col("a").alias("doc_id"), "a", "sub", F.lit(None).cast("long").alias("b")).distinct()
+    places = placed.select(F.col("b").alias("doc_id"), "a", "sub", "b").unionByName(own)
+    many = places.groupBy("doc_id").agg(F.ceil(F.count("*") / PLACES).alias("s"))
+    part = F.pmod(F.xxhash64("a", "sub", "b"), F.col("s"))
+    places = cut(places.join(many, "doc_id").groupBy("doc_id", part.alias("part")).agg(F.collect_list(F.struct("a", "sub", "b")).alias("places")))
+    n = places.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
+    if not n:
+        return pairs.select("a", "b").filter("false")
+    rows = sized_join(texts, places, "doc_id", "inner", n).select("text", "places").mapInArrow(_bodies(make), MOVED)
+    rows = rows.repartition(partitions(rows.sparkSession), "a", "sub").sortWithinPartitions("a", "sub", F.asc_nulls_first("b"))
+    return rows.mapInArrow(_against(test), "a bigint, b bigint")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, screen: bool = False) -> DataFrame:
     """The similar ones of materialised pairs (a, b); only their documents' sets are made and moved.
 
     With ``screen`` (for pairs of which few are similar), wide bitmaps rule out
     most pairs before a set moves.
     """
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    n = ids.count()
-    if not n:
-        return pairs.select("a", "b").filter("false")
-    sets = cut(sized_join(texts, ids, "doc_id", "left_semi", n).mapInArrow(_screened_sets if screen else _sets, SETS))
-    left = cut(bounded(pairs.select("a", "b"), sets)) if screen else pairs
-    one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
-    if screen:  # sets that no pair asks for any more stay where they are
-        m = left.count()
-        one, two = (sized_join(x, left.select(c).distinct(), c, "left_semi", m) for x, c in ((one, "a"), (two, "b")))
-    return left.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(_verify, "a bigint, b bigint")
+    pairs = pairs.select("a", "b")
+    if screen:
+        pairs = cut(confronted(pairs, texts, wide_bitmap, may_fit))
+    return confronted(pairs, texts, _set, fit)
 
 
 def settled(comps: DataFrame, links: DataFrame) -> DataFrame:
