@@ -253,8 +253,8 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def wide_bitmap(shingles: np.ndarray) -> bytes:
-    """Sixteen bits and more for each hash (up to WIDE_BITS), a quarter of the set's bytes."""
-    bits = np.zeros(min(WIDE_BITS, 1 << (16 * len(shingles)).bit_length()), np.uint8)
+    """Four to eight bits for each hash (up to WIDE_BITS), a tenth of the set's bytes."""
+    bits = np.zeros(min(WIDE_BITS, 1 << (4 * max(16, len(shingles))).bit_length()), np.uint8)
     bits[(shingles & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
