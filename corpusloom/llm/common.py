@@ -7,9 +7,11 @@ the folder the session names in ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +46,20 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def trim() -> None:
+    """Give a Python worker's freed memory back to the system.
+
+    Workers outlive their tasks and are handed from stage to stage; what one
+    stage freed would otherwise stay with the process beside what the next needs.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

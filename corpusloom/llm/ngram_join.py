@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, partitions, release, sized_join, skew_safe_lookup
+from .common import BROADCAST_ROWS, cut, partitions, release, sized_join, skew_safe_lookup, trim
 from .components import components
 
 WIDTH = 5
@@ -147,6 +147,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [none] * 4
         yield pa.RecordBatch.from_arrays([*columns, none, none], names)
     yield repeated()
+    held, seen = [], set()
+    trim()
 
 
 def _prefixes(hot_cast):
@@ -186,6 +188,7 @@ def _prefixes(hot_cast):
                     yield flush()
                     out, size = [], 0
             yield flush()
+        trim()
 
     return run
 
@@ -281,6 +284,7 @@ def _bodies(make):
                         yield table(rows)
                         rows, size = [], 0
             yield table(rows)
+        trim()
 
     return run
 

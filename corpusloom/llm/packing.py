@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, sized_join
+from .common import cut, sized_join, trim
 
 CAPACITY = 1024
 END_ID = 2
@@ -128,6 +128,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     """Pieces of each document with their task and their number there among those of their length."""
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         encode, part = Encoder(tokenizer or default_tokenizer()), TaskContext.get().partitionId()
         end, seen = np.array([end_id], "<u4").tobytes(), [0] * (capacity + 1)
         for batch in batches:
