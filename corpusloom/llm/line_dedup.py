@@ -1,17 +1,21 @@
 """Line deduplication by pairwise alignment.
 
-Documents overlap where they share lines.  Each line's *first holder* (the
-smallest doc_id with it) stands for all its holders, so that a line makes one
-pair for each later holder, frequent lines no more than rare ones, and no line
-needs a cap.  Lines of fewer than MIN_LINE_WORDS words are no evidence of
-overlap; they are deleted only inside an aligned block.
+A *window* is a run of consecutive lines that has MIN_BLOCK_WORDS words and
+would not without its last (or its first) line.  Whatever run of that many words
+two documents share, each of its lines lies in a window that both hold.  Each
+window's *first holder* (the smallest doc_id with it) stands for all its
+holders, so that a window makes one pair for each later holder, frequent ones
+no more than rare ones, and no window needs a cap.
 
 Each pair is aligned by patience diff over the documents' lists of line
 hashes: lines that occur once in both and keep their order are anchors, the
 gaps between anchors are aligned the same way, and where no line is unique the
 n-th occurrences stand for each other.  Runs of aligned lines with at least
-MIN_BLOCK_WORDS words are deleted from the later document.  The first holder of
-a line never loses it to a later one, so one copy of every line stays.
+MIN_BLOCK_WORDS words are deleted from the later document, and so are runs that
+both documents have in another order.  Together the pairs delete exactly the
+runs of so many words that any earlier document has, as if all documents were
+compared.  The first holder of a line never loses it to a later one, so one copy
+of every line stays.
 
 Candidates meet by a 64-bit hash; alignment compares 128 bits.
 
@@ -24,7 +28,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +38,6 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, cut, skew_safe_lookup
 
-MIN_LINE_WORDS = 3
 MIN_BLOCK_WORDS = 8
 #: Bytes of removal lists that may be broadcast.
 BROADCAST_BYTES = 32 << 20
@@ -104,52 +107,116 @@ def patience(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_blocks(earlier: Sequence, later: Sequence, words: Sequence[int], least: int = MIN_BLOCK_WORDS) -> list[int]:
-    """Lines of ``later`` in aligned blocks of at least so many words."""
-    out: list[int] = []
+def windows(words: Sequence[int], core: Callable[[int, int], object], least: int = MIN_BLOCK_WORDS) -> Iterator[tuple[object, int, int]]:
+    """(key, first, last) of the shortest runs of at least so many words from each line on and up to each line.
+
+    ``core`` names the lines from one with words to another; lines without words
+    before or after those only count, so that long empty stretches cost no more.
+    """
+    full = [k for k, n in enumerate(words) if n]
+    room = -least
+    b = 0
+    ends = {}
+    for a, first in enumerate(full):
+        while b < len(full) and room < 0:
+            room += words[full[b]]
+            b += 1
+        if room < 0:
+            break
+        last = full[b - 1]
+        name = ends[first, last] = core(first, last)
+        yield (name, 0, 0), first, last
+        for lead in range(1, first - (full[a - 1] if a else -1)):
+            yield (name, lead, 0), first - lead, last
+        room -= words[first]
+    a, room = 0, -least
+    for b, last in enumerate(full):
+        room += words[last]
+        while room >= words[full[a]]:
+            room -= words[full[a]]
+            a += 1
+        if room < 0:
+            continue
+        first = full[a]
+        if (first, last) in ends:
+            name = ends[first, last]
+        else:
+            name = core(first, last)
+            yield (name, 0, 0), first, last
+        for trail in range(1, (full[b + 1] if b + 1 < len(full) else len(words)) - last):
+            yield (name, 0, trail), first, last + trail
+
+
+def common_blocks(earlier: Sequence, later: Sequence, before: Sequence[int], words: Sequence[int], least: int = MIN_BLOCK_WORDS) -> list[int]:
+    """Lines of ``later`` in runs of at least so many words that ``earlier`` has too; ``before`` and ``words`` count their words."""
+    gone: set[int] = set()
     run: list[int] = []
-    before = None
+    at = None
     for i, j in [*patience(earlier, later), (-2, -2)]:
-        if before != (i - 1, j - 1):
+        if at != (i - 1, j - 1):
             if sum(words[x] for x in run) >= least:
-                out += run
+                gone.update(run)
             run = []
         if j >= 0:
             run.append(j)
-        before = (i, j)
-    return out
+        at = (i, j)
+    if len(gone) < len(later):
+        names: dict[tuple, int] = {}
+
+        def core(lines: Sequence) -> Callable[[int, int], int]:
+            return lambda first, last: names.setdefault(tuple(lines[first : last + 1]), len(names))
+
+        held = {key for key, _, _ in windows(before, core(earlier), least)}
+        for key, first, last in windows(words, core(later), least):
+            if key in held:
+                gone.update(range(first, last + 1))
+    return sorted(gone)
+
+
+def _keys(digests: bytes, words: Sequence[int]) -> np.ndarray:
+    """A number for each distinct window of a document, from the 16-byte hashes of its lines."""
+
+    def core(first: int, last: int) -> int:
+        return xxhash.xxh3_64_intdigest(digests[16 * first : 16 * last + 16])
+
+    found = {name if not lead + trail else xxhash.xxh3_64_intdigest(b"%d %d %d" % (name, lead, trail)) for (name, lead, trail), _, _ in windows(words, core)}
+    return np.fromiter(found, np.uint64, len(found)).view(np.int64)
 
 
 def line_lists(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, g, w): two hashes and the number of words of every line."""
+    """(doc_id, h, g, w, k): two hashes and the number of words of every line, and the keys of the windows."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, words = [], []
+            hashes, words, keys = [], [], []
             for text in batch.column(1).cast(pa.binary()):
                 lines = [x.strip() for x in text.as_py().split(b"\n")]
-                hashes.append(np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, lines)), np.int64).reshape(-1, 2))
+                digests = b"".join(map(xxhash.xxh3_128_digest, lines))
+                hashes.append(np.frombuffer(digests, np.int64).reshape(-1, 2))
                 words.append([len(x.split()) for x in lines])
+                keys.append(_keys(digests, words[-1]))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array([x[:, 0] for x in hashes], pa.list_(pa.int64())),
                     pa.array([x[:, 1] for x in hashes], pa.list_(pa.int64())),
                     pa.array(words, pa.list_(pa.int32())),
+                    pa.array(keys, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "h", "g", "w"],
+                ["doc_id", "h", "g", "w", "k"],
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.filter("doc_id is not null and text is not null").mapInArrow(split, "doc_id bigint, h array<bigint>, g array<bigint>, w array<int>")
+    schema = "doc_id bigint, h array<bigint>, g array<bigint>, w array<int>, k array<bigint>"
+    return rows.filter("doc_id is not null and text is not null").mapInArrow(split, schema)
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, gone = [], []
         for k in range(batch.num_rows):
-            later, h1, g1, w1, h0, g0 = (batch.column(c)[k].as_py() for c in range(6))
-            if lines := common_blocks(list(zip(h0, g0, strict=True)), list(zip(h1, g1, strict=True)), w1):
+            later, h1, g1, w1, h0, g0, w0 = (batch.column(c)[k].as_py() for c in range(7))
+            if lines := common_blocks(list(zip(h0, g0, strict=True)), list(zip(h1, g1, strict=True)), w0, w1):
                 ids.append(later)
                 gone.append(lines)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "gone"])
@@ -158,12 +225,12 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, gone): the lines (from 0) to delete from each document that has some."""
     lists = cut(line_lists(docs))
-    evidence = F.array_distinct(F.transform(F.filter(F.arrays_zip("h", "w"), lambda x: x["w"] >= MIN_LINE_WORDS), lambda x: x["h"]))
-    held = lists.select("doc_id", F.explode(evidence).alias("h"))
-    first = held.groupBy("h").agg(F.min("doc_id").alias("owner"), F.count("*").alias("df")).filter("df > 1")
-    pairs = skew_safe_lookup(held, first, "h", "df").filter("owner < doc_id").select("doc_id", "owner").distinct()
-    earlier = lists.select(F.col("doc_id").alias("owner"), F.col("h").alias("h0"), F.col("g").alias("g0"))
-    rows = pairs.join(earlier, "owner").join(lists, "doc_id").select("doc_id", "h", "g", "w", "h0", "g0")
+    held = lists.select("doc_id", F.explode("k").alias("k"))
+    first = held.groupBy("k").agg(F.min("doc_id").alias("owner"), F.count("*").alias("df")).filter("df > 1")
+    pairs = skew_safe_lookup(held, first, "k", "df").filter("owner < doc_id").select("doc_id", "owner").distinct()
+    later = lists.drop("k")
+    earlier = later.select(F.col("doc_id").alias("owner"), F.col("h").alias("h0"), F.col("g").alias("g0"), F.col("w").alias("w0"))
+    rows = pairs.join(earlier, "owner").join(later, "doc_id").select("doc_id", "h", "g", "w", "h0", "g0", "w0")
     gone = rows.mapInArrow(_align, "doc_id bigint, gone array<int>")
     return gone.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
@@ -183,20 +250,22 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
 
 def brute_force(docs: list[tuple[int, str | None]]) -> dict[int, str | None]:
-    """The same by strings and all pairs that share a line by its first holder; for small tests."""
+    """The same by strings, every run of every document against all earlier documents; for small tests."""
     split = {i: [x.strip(" \t\n\r\v\f") for x in t.split("\n")] for i, t in docs if t is not None}
-    owner: dict[str, int] = {}
-    for i in sorted(split):
-        for x in split[i]:
-            if len(x.split()) >= MIN_LINE_WORDS:
-                owner.setdefault(x, i)
     out: dict[int, str | None] = {}
     for i, t in docs:
         if t is None:
             out[i] = None
             continue
         gone: set[int] = set()
-        for j in sorted({owner[x] for x in split[i] if x in owner} - {i}):
-            gone |= set(common_blocks(split[j], split[i], [len(x.split()) for x in split[i]]))
+        mine = split[i]
+        for theirs in (split[j] for j in split if j < i):
+            for a in range(len(mine)):
+                for b in range(len(theirs)):
+                    n = 0
+                    while a + n < len(mine) and b + n < len(theirs) and mine[a + n] == theirs[b + n]:
+                        n += 1
+                    if sum(len(x.split()) for x in mine[a : a + n]) >= MIN_BLOCK_WORDS:
+                        gone |= set(range(a, a + n))
         out[i] = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
     return out

@@ -128,6 +128,22 @@ def test_line_dedup(spark):
     assert all(r.n_removed == 0 for r in same)
 
 
+def test_line_dedup_compares_all_documents(spark):
+    """Blocks whose lines all stand in earlier documents that cannot be aligned with the later one."""
+    lines = [f"l{k} two three four five six seven" for k in range(8)]
+    passage = "\n".join(lines)
+    rows = [(k, f"own{k}\n{x}\nrest{k}") for k, x in enumerate(lines)] + [(8, f"b first\n{passage}\nb last"), (9, f"c first\n{passage}\nc last")]
+    # The first holder has the blocks in another order.
+    one, two = ("\n".join(f"{x}{k} b c d e" for k in range(3)) for x in ("m", "n"))
+    rows += [(20, f"{one}\n{two}"), (21, f"{two}\nx\n{one}")]
+    rng = random.Random(3)
+    rows += [(30 + k, "\n".join(rng.choice(["", "", "p", "q r", "s t u", "v w x y", "a b c d e f g h"]) for _ in range(rng.randrange(12)))) for k in range(60)]
+    got = {r.doc_id: r for r in line_dedup.line_dedup(frame(spark, rows)).collect()}
+    assert got[9].text == "c first\nc last" and got[9].n_removed == 8 and got[8].n_removed == 0
+    assert got[21].text == "x" and got[20].n_removed == 0
+    assert {i: r.text for i, r in got.items()} == line_dedup.brute_force(rows)
+
+
 def test_patience_aligns_in_order():
     rng = random.Random(2)
     for _ in range(200):
