@@ -17,6 +17,10 @@ runs of so many words that any earlier document has, as if all documents were
 compared.  The first holder of a line never loses it to a later one, so one copy
 of every line stays.
 
+Words are divided by white space; in scripts that write none between them, a
+stretch of letters counts by its length (one word for each LETTERS_A_WORD, the
+rest rounded up), so that their passages are found as others are.
+
 Candidates meet by a 64-bit hash; alignment compares 128 bits.
 
 Defined cases: a null text stays null; empty texts have nothing to delete;
@@ -26,6 +30,7 @@ each other; an empty table gives an empty result; other columns are kept.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
@@ -39,6 +44,17 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, cut, skew_safe_lookup
 
 MIN_BLOCK_WORDS = 8
+#: Scripts without spaces, and how many of their characters (marks included) count as a word.
+LETTERS_A_WORD = {
+    # Chinese, Japanese, Yi
+    "\u3005-\u3007\u3040-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua000-\ua48f\uf900-\ufaff\uff66-\uff9f\U00016fe0-\U00018dff\U0001aff0-\U0001b2ff\U00020000-\U0003ffff": 2,
+    # Thai, Lao, Tibetan, Burmese, Khmer, Tai scripts, Balinese, Javanese
+    "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u1950-\u19ff\u1a20-\u1aad\u1b00-\u1b7f\ua980-\ua9ff\uaa60-\uaadf": 4,
+}
+_UNSPACED = re.compile("|".join(f"([{x}]+)" for x in LETTERS_A_WORD))
+_A_WORD = list(LETTERS_A_WORD.values())
+#: White space beyond ASCII; inside a line it divides words.
+_WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000]")
 #: Bytes of removal lists that may be broadcast.
 BROADCAST_BYTES = 32 << 20
 
@@ -107,6 +123,19 @@ def patience(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def count_words(line: bytes) -> int:
+    """Words of a line; one at least if the line is not empty."""
+    plain = len(line.split())
+    if line.isascii():
+        return plain
+    text = _WIDE_SPACE.sub(" ", line.decode(errors="replace"))
+    if not _UNSPACED.search(text):
+        return max(plain, len(text.split()))
+    letters = sum(-(-len(m[0]) // _A_WORD[m.lastindex - 1]) for m in _UNSPACED.finditer(text))
+    others = sum(any(map(str.isalnum, x)) for x in _UNSPACED.sub(" ", text).split())
+    return max(plain, letters + others)
+
+
 def windows(words: Sequence[int], core: Callable[[int, int], object], least: int = MIN_BLOCK_WORDS) -> Iterator[tuple[object, int, int]]:
     """(key, first, last) of the shortest runs of at least so many words from each line on and up to each line.
 
@@ -193,7 +222,7 @@ def line_lists(docs: DataFrame) -> DataFrame:
                 lines = [x.strip() for x in text.as_py().split(b"\n")]
                 digests = b"".join(map(xxhash.xxh3_128_digest, lines))
                 hashes.append(np.frombuffer(digests, np.int64).reshape(-1, 2))
-                words.append([len(x.split()) for x in lines])
+                words.append([count_words(x) for x in lines])
                 keys.append(_keys(digests, words[-1]))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -265,7 +294,7 @@ def brute_force(docs: list[tuple[int, str | None]]) -> dict[int, str | None]:
                     n = 0
                     while a + n < len(mine) and b + n < len(theirs) and mine[a + n] == theirs[b + n]:
                         n += 1
-                    if sum(len(x.split()) for x in mine[a : a + n]) >= MIN_BLOCK_WORDS:
+                    if sum(count_words(x.encode()) for x in mine[a : a + n]) >= MIN_BLOCK_WORDS:
                         gone |= set(range(a, a + n))
         out[i] = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
     return out

@@ -144,6 +144,19 @@ def test_line_dedup_compares_all_documents(spark):
     assert {i: r.text for i, r in got.items()} == line_dedup.brute_force(rows)
 
 
+def test_line_dedup_of_unspaced_scripts_and_short_lines(spark):
+    """Lines without spaces, and lines of one or two words, are evidence of overlap."""
+    passages = ["这是一个在不同文档里重复出现的很长的段落，它没有空格。", "これは異なる文書の中で繰り返される長い段落です", "นี่คือย่อหน้ายาวที่ซ้ำกันในเอกสารต่างๆซึ่งไม่มีช่องว่าง", "\n".join(f"item{k}" if k % 2 else f"item {k}" for k in range(40)), "eins\u00a0zwei\u3000drei vier\u00a0fünf sechs\u2003sieben acht"]
+    few = ["这是短句", "สวัสดีครับ", "one two\nthree\nfour", "né à la mer"]
+    rows = [(10 * n + k, f"doc {n} {k}\n{x}\nend {n} {k}") for n, x in enumerate(passages + few) for k in range(2)]
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(frame(spark, rows)).collect()}
+    assert got == line_dedup.brute_force(rows)
+    for n in range(len(passages)):
+        assert got[10 * n + 1] == f"doc {n} 1\nend {n} 1" and got[10 * n] == dict(rows)[10 * n]
+    assert all(got[i] == t for i, t in rows[2 * len(passages) :])
+    assert [line_dedup.count_words(x.encode()) for x in ("", "a b", "你好，世界", "iPhone 手机", "\u00a0")] == [0, 2, 2, 2, 1]
+
+
 def test_patience_aligns_in_order():
     rng = random.Random(2)
     for _ in range(200):
