@@ -90,7 +90,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-_SPELLED = re.compile(r"[Dd][Oo][Tt]")
+#: A sign that every match of the email generator holds.
+_AT = re.compile(r"@|[\[({<]\s?at\s?[\])}>]|\s(?:at|AT)\s")
 
 
 def proposals(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -98,7 +99,7 @@ def proposals(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
     out = []
     has_digit = any(d in text for d in "0123456789")
     for k, kind in enumerate(KINDS):
-        if ("@" in text or _SPELLED.search(text)) if kind == "email" else (":" in text if kind == "ip" else has_digit):
+        if _AT.search(text) if kind == "email" else (":" in text if kind == "ip" else has_digit):
             out += [(k, m.start(), m.end()) for m in LOOSE[kind].finditer(text) if m.end() > m.start()]
     return [x for x in out if not any(s < x[2] and x[1] < e for _, s, e in base)]
 
@@ -209,6 +210,7 @@ def examples(n: int, rng: random.Random) -> tuple[list[list[float]], list[int]]:
         ("email", 1, lambda: f"{word()}.{word()} (at) {word()} (dot) {rng.choice(['com', 'org', 'net', 'de'])}"),
         ("email", 1, lambda: f"{word()}[at]{word()}[dot]{rng.choice(['com', 'org', 'fr', 'es'])}"),
         ("email", 1, lambda: f"{word()} at {word()} dot {rng.choice(['com', 'org', 'net'])}"),
+        ("email", 1, lambda: f"{word()}{rng.choice(['', '.' + word()])}{rng.choice([' (at) ', '(at)', ' [at] ', '[at]', '{at}', '<at>', ' ( at ) '])}{word()}.{rng.choice(['com', 'org', 'net', 'de', 'co.uk'])}"),
         ("email", 0, lambda: f"{word()} at {word()}.{word(6, 12)}"),
         ("email", 0, lambda: f"{word()} at {word(2, 5)}.{word(2, 5)}"),
         ("email", 0, lambda: f"{word()} at {word()}.{number(2)}"),
