@@ -18,6 +18,28 @@ from corpusloom.llm.common import cut, ensure_checkpoint_dir, read_table, sized_
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a ``_key`` for each row, unique and in the order of doc_id (without one: last).
+
+    It is doc_id itself unless a row has none or shares it; then rows are numbered, and written before use.
+    """
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("doc_id is null or n > 1")
+    if again.isEmpty():
+        return docs.withColumn("_key", F.col("doc_id").cast("long"))
+    order = (F.asc_nulls_last("doc_id"), F.xxhash64("text"), F.col("_nth"))
+    rows = docs.withColumn("_nth", F.monotonically_increasing_id()).orderBy(*order).drop("_nth")
+    return cut(rows.withColumn("_key", F.monotonically_increasing_id()))
+
+
+def by_key(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("_key").alias("doc_id"), "text")
+
+
+def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``rows`` whose key is no doc_id of ``dropped``."""
+    return sized_join(rows, cut(dropped.select(F.col("doc_id").alias("_key"))), "_key", "left_anti").select(*COLUMNS)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     return quality.accepted(docs, read_table(spark, sf_dir, "labels")).select(*COLUMNS)
@@ -30,15 +52,15 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar texts, the document with the smallest id."""
-    dropped = cut(ngram_join.ngram_join(docs).filter("component_id <> doc_id").select("doc_id"))
-    return sized_join(docs, dropped, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of similar texts, one row: that with the smallest id, rows without an id last."""
+    rows = keyed(docs)
+    return without(rows, ngram_join.ngram_join(by_key(rows)).filter("component_id <> doc_id"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an occurrence of a benchmark window."""
-    found = decontamination.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
-    return sized_join(docs, cut(found.filter("contaminated").select("doc_id")), "doc_id", "left_anti").select(*COLUMNS)
+    """Rows without an occurrence of a benchmark window, with or without an id."""
+    rows = keyed(docs)
+    return without(rows, decontamination.decontaminate(by_key(rows), read_table(spark, sf_dir, "benchmark")).filter("contaminated"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

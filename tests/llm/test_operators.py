@@ -343,3 +343,28 @@ def test_pipeline(spark, tmp_path):
     got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()}
     assert 1 in got and not got & {0, 3, 900, 901}
     assert len(got & {i for i, q, _ in labels if q}) > 0.95 * sum(q for _, q, _ in labels)
+
+
+def test_stages_decide_for_each_row(spark, tmp_path):
+    """Rows without an id, and rows that share one, are dropped and kept like others."""
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    bench, twice, copied, own = (sentence(rng, 40) for _ in range(4))
+    spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, f"x {bench}"), (5, bench), (5, own), (7, twice), (7, twice), (None, twice), (None, copied), (None, copied), (3, copied), (8, None), (8, None), (None, "")]
+    docs = frame(spark, rows).select(*corpus_pipeline.COLUMNS)
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    none = [(8, None), (8, None), (None, "")]
+
+    def ordered(found):
+        return sorted(found, key=str)
+
+    joined = corpus_pipeline.ngram_join_stage(spark, docs, str(tmp_path))
+    assert joined.columns == list(corpus_pipeline.COLUMNS)
+    assert ordered((r.doc_id, r.text) for r in joined.collect()) == ordered([(5, bench), (5, own), (7, twice), (3, copied), *none])
+    clean = corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path))
+    assert ordered((r.doc_id, r.text) for r in clean.collect()) == ordered(x for x in rows if bench not in (x[1] or ""))
+    usual = corpus_pipeline.keyed(docs.filter("doc_id = 3"))
+    assert usual.first()._key == 3
