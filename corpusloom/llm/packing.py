@@ -21,11 +21,14 @@ ignored.
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +36,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.bytes import byte_alphabet
+from ..functions.text import PATTERN
 from .common import cut, sized_join, trim
 
 CAPACITY = 1024
 END_ID = 2
-#: Entries of a worker's memo of encoded words (emptied when full), and the longest word it takes.
-MEMO = 700_000
-MEMO_CHARS = 48
+#: Characters encoded in one go.
+STRETCH = 1 << 17
 #: Rounds of multiplicative weights and their learning rate.
 ROUNDS, RATE = 200, 0.3
 
@@ -52,73 +56,84 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def regular_ranks(path: str, tok) -> dict[bytes, int] | None:
+    """Token bytes to ids, if plain byte-level merging by id gives the tokenizer's ids for every text; else None.
+
+    That is so if every merge makes a token of its own, in the order of ids, and
+    the model merges each token's own bytes to that one token: a merger that
+    joins whatever two parts make the token of least id then never joins others
+    than the model does.
+    """
+    with open(path, encoding="utf-8") as f:
+        data = json.load(f)
+    model, pre = data["model"], data.get("pre_tokenizer") or {}
+    odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in odd) and not data.get("normalizer")
+    if not plain or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        return None
+    byte_of = {c: b for b, c in byte_alphabet().items()}
+    vocab = model["vocab"]
+    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    ids = [vocab.get(m, -1) for m in merged]
+    if not all(c in vocab for c in byte_of) or len(vocab) != 256 + len(merged) or any(x >= y for x, y in zip(ids, ids[1:], strict=False)):
+        return None
+    if min(ids, default=256) <= max(vocab[c] for c in byte_of) or any([t.id for t in tok.model.tokenize(k)] != [v] for k, v in vocab.items()):
+        return None
+    return {bytes(map(byte_of.__getitem__, k)): v for k, v in vocab.items()}
+
+
 class Encoder:
     """Ids of whole texts as little-endian uint32 bytes.
 
-    The pre-tokeniser always starts a new piece at a space that a non-space
-    follows, so words between such spaces are encoded alone and memoised; a
-    text that holds a special token's string is encoded in one go.
+    A vocabulary whose ids follow from its ranks alone is merged by tiktoken,
+    which equals the tokenizer then and makes plain lists of ids.  All other
+    vocabularies, texts that hold a special token's string, and stretches of
+    more than STRETCH characters that cannot be parted go to the tokenizer.
+    Longer texts are parted at spaces that a non-space follows: the
+    pre-tokeniser always starts a new piece there.
     """
 
     _cut = re.compile(r" (?=\S)")
-    _letters = re.compile(r"[^\W\d_]+")
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}  # of a word with the space before it
-        self.tails: dict[str, bytes] = {}  # of a text's first word, or what follows a word's letters, alone
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: set[str]) -> dict[str, bytes]:
-        """Words encoded by their letters and the rest, between which a piece always ends."""
-        parted = {}
-        for w in new:
-            m = self._letters.match(w)
-            n = m.end() if m and m[0].isalpha() else 0
-            parted[w] = (w[:n], w[n:]) if n else (w, "")
-        heads = [h for h in {h for h, _ in parted.values()} if h not in self.memo]
-        tails = [t for t in {t for _, t in parted.values()} if t and t not in self.tails]
-        ids = self._encode([" " + h for h in heads] + tails)
-        found = dict(zip(heads, ids, strict=False))
-        ends = dict(zip(tails, ids[len(heads) :], strict=True))
-        out = {}
-        for w, (h, t) in parted.items():
-            head = found.get(h) or self.memo[h]
-            out[w] = head + (ends.get(t) or self.tails[t]) if t else head
-        for memo, fresh in ((self.memo, found), (self.memo, out), (self.tails, ends)):
-            if len(memo) > MEMO:
-                memo.clear()
-            memo.update(x for x in fresh.items() if len(x[0]) <= MEMO_CHARS)
-        return out
+        self.fast = None
+        if (ranks := regular_ranks(path, self.tok)) is not None:
+            import tiktoken
+
+            self.fast = tiktoken.Encoding(name=os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def stretches(self, text: str) -> Iterator[str]:
+        """Consecutive parts of a text, of at most STRETCH characters where it can be parted so."""
+        start = 0
+        while len(text) - start > STRETCH:
+            at = text.rfind(" ", start + 1, start + STRETCH + 1)
+            while at > start and (at + 1 == len(text) or text[at + 1].isspace()):
+                at = text.rfind(" ", start + 1, at)
+            if at <= start:
+                found = self._cut.search(text, start + 1)
+                at = found.start() if found else len(text)
+            yield text[start:at]
+            start = at
+        yield text[start:]
 
     def __call__(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return self._encode([text])[0]
-        head, *rest = text.split(" ")
-        got = list(map(self.memo.get, rest))
-        if None in got:
-            if any(not w or w[0].isspace() for w, g in zip(rest, got, strict=True) if g is None):
-                head, *rest = self._cut.split(text)
-                got = list(map(self.memo.get, rest))
-            new = {w for w, g in zip(rest, got, strict=True) if g is None}
-            found = self._learn(new) if new else {}
-            got = [found[w] if g is None else g for w, g in zip(rest, got, strict=True)]
-        if not head:
-            return b"".join(got)
-        first = self.tails.get(head)
-        if first is None:
-            first = self._encode([head])[0]
-            if len(head) <= MEMO_CHARS and len(self.tails) < MEMO:
-                self.tails[head] = first
-        return first + b"".join(got)
+        if self.fast is None or any(s in text for s in self.special):
+            return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(text) <= STRETCH:
+            return array("I", self.fast(text)).tobytes()
+        parts = (self.fast(x) if len(x) <= STRETCH else self.tok.encode(x, add_special_tokens=False).ids for x in self.stretches(text))
+        return b"".join(array("I", x).tobytes() for x in parts)
+
+
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """One encoder for each worker process and vocabulary, however many tasks the process runs."""
+    return Encoder(path)
 
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, nth bigint"
@@ -129,7 +144,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim()
-        encode, part = Encoder(tokenizer or default_tokenizer()), TaskContext.get().partitionId()
+        encode, part = encoder_of(tokenizer or default_tokenizer()), TaskContext.get().partitionId()
         end, seen = np.array([end_id], "<u4").tobytes(), [0] * (capacity + 1)
         for batch in batches:
             out: list[tuple] = []
@@ -259,6 +274,19 @@ class Places:
         return sequence, offset
 
 
+def plan(need: np.ndarray, capacity: int = CAPACITY) -> tuple[list[tuple[Config, int]], int]:
+    """Configurations with their multiplicities that hold ``need[x]`` pieces of each length x, and a lower bound on their number."""
+    whole, rest = need.copy(), need.copy()
+    whole[:capacity] = 0
+    rest[capacity] = 0
+    packed, bound = [((capacity,), int(whole[capacity]))] if whole[capacity] else [], int(whole[capacity])
+    if rest.any():
+        amount, least = solve(rest, capacity)
+        packed += rounded(rest, amount, capacity)
+        bound += int(np.ceil(least - 1e-6))
+    return packed, bound
+
+
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
@@ -267,12 +295,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     need = np.zeros(capacity + 1, np.int64)
     for row in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most one row for each length
         need[row.length] = row.n
-    whole, rest = need.copy(), need.copy()
-    whole[:capacity] = 0
-    rest[capacity] = 0
-    packed = [((capacity,), int(whole[capacity]))] if whole[capacity] else []
-    if rest.any():
-        packed += rounded(rest, solve(rest, capacity)[0], capacity)
+    packed, _ = plan(need, capacity)
     places = spark.sparkContext.broadcast(Places(packed, capacity))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
