@@ -13,7 +13,9 @@ PRECISION on generated examples held back from the trees.
 
 Defined cases: a null text counts as empty; no span gives empty strings' digest
 and text; repeated rows each get a row; an empty table gives an empty result;
-other columns are ignored.  Offsets are code points, ends exclusive.
+other columns are ignored.  Very long texts take time in proportion to their
+length, whatever they hold: each run of characters is walked a bounded number of
+times.  Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -31,16 +34,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
+#: The base patterns, tried only where a match can begin: at the first digit of a run, or at the @ (see ``emails``).
 BASE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"),
-    "card": re.compile(r"[0-9](?:[\x20-]?[0-9])+"),
+    "ip": re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"),
+    "card": re.compile(r"[0-9](?:[\x20-]?[0-9])++"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
+_LOCAL = re.compile(r"[A-Za-z0-9._%+-]*")
+_DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 #: High-recall generators.
 LOOSE = {
     "email": re.compile(
-        r"[A-Za-z0-9._%+-]{1,64}\s{0,2}(?:@|[\[({<]\s?at\s?[\])}>]|\s(?:at|AT)\s)\s{0,2}[A-Za-z0-9-]{1,63}"
+        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\s{0,2}(?:@|[\[({<]\s?at\s?[\])}>]|\s(?:at|AT)\s)\s{0,2}[A-Za-z0-9-]{1,63}"
         r"(?:(?:\.|\s{0,2}[\[({<]\s?dot\s?[\])}>]\s{0,2}|\s{1,2}(?:dot|DOT)\s{1,2})[A-Za-z0-9-]{1,63}){1,4}"
     ),
     "ip": re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"),
@@ -73,23 +78,65 @@ def passes(kind: str, match: str) -> bool:
     if kind == "email":
         return True
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in match.split("."))
+        return all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in match.split(".")))
     digits = _digits(match)
     if kind == "card":
         return 13 <= len(digits) <= 19 and luhn(digits)
     return 9 <= len(digits) <= 15
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost non-overlapping matches of the base pattern of emails, from each @ outwards.
+
+    The longest run of the local part's characters before an @ begins a match, if
+    a domain follows; no such run holds an @, so that none is walked twice.
+    """
+    done = 0
+    at = text.find("@")
+    while at >= 0:
+        if (domain := _DOMAIN.match(text, at)) is not None:
+            start, size = at, 64
+            while True:
+                low = max(done, at - size)
+                start = at - _LOCAL.match(text[low:at][::-1]).end()
+                if start > low or low == done:
+                    break
+                size *= 2  # the run may begin further back
+            if start < at:
+                yield start, domain.end()
+                done = domain.end()
+        at = text.find("@", max(at + 1, done))
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind number, start, end) of the base patterns, by kind, then start."""
-    out = []
+    out = [(0, s, e) for s, e in emails(text)]
     has_digit = any(d in text for d in "0123456789")
     for k, kind in enumerate(KINDS):
-        if ("@" in text) if kind == "email" else (has_digit and (kind != "phone" or "+" in text)):
+        if kind in BASE and has_digit and (kind != "phone" or "+" in text):
             out += [(k, m.start(), m.end()) for m in BASE[kind].finditer(text) if passes(kind, m[0])]
     return out
 
 
+def joined(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the disjoint intervals that spans cover together, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for _, s, e in sorted(spans, key=lambda x: x[1:]):
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
+def touches(starts: list[int], ends: list[int], start: int, end: int) -> bool:
+    """Does [start, end) share a character with one of the disjoint sorted intervals?"""
+    before = bisect_left(starts, end)
+    return before > 0 and ends[before - 1] > start
+
+
 #: A sign that every match of the email generator holds.
 _AT = re.compile(r"@|[\[({<]\s?at\s?[\])}>]|\s(?:at|AT)\s")
 
@@ -101,7 +148,8 @@ def proposals(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
     for k, kind in enumerate(KINDS):
         if _AT.search(text) if kind == "email" else (":" in text if kind == "ip" else has_digit):
             out += [(k, m.start(), m.end()) for m in LOOSE[kind].finditer(text) if m.end() > m.start()]
-    return [x for x in out if not any(s < x[2] and x[1] < e for _, s, e in base)]
+    starts, ends = joined(base)
+    return [x for x in out if not touches(starts, ends, *x[1:])]
 
 
 def describe(text: str, span: tuple[int, int, int]) -> list[float]:
@@ -271,9 +319,13 @@ def detect(texts: list[str], model: Boosted) -> list[tuple[list[tuple[int, int,
     for base, spans in zip(bases, loose, strict=True):
         rated = sorted(((next(scores), s) for s in spans), key=lambda x: (-x[0], x[1]))
         taken: list[tuple[int, int, int]] = []
+        starts: list[int] = []
+        ends: list[int] = []
         for score, (k, s, e) in rated:
-            if score >= model.thresholds[k] and not any(a < e and s < b for _, a, b in taken):
+            if score >= model.thresholds[k] and not touches(starts, ends, s, e):
                 taken.append((k, s, e))
+                insort(starts, s)
+                insort(ends, e)
         out.append((base, sorted([*base, *taken])))
     return out
 
