@@ -8,8 +8,11 @@ confirmed rules the longest (host and path together, then host, then
 alphabetically) gives the verdict.  URLs that no rule fits are allowed.
 
 Defined cases: a null url or one without ``://`` has empty host and path and
-fits no rule; repeated rows each get a row; an empty table gives an empty
-result; other columns are ignored.
+fits no rule; of rules with the same host and path the one whose verdict comes
+last in order holds (block before allow), rules without one of them fit nothing;
+a very long url makes as many expressions as it has labels times fitting
+lengths; repeated rows each get a row; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -56,10 +59,8 @@ def expressions(host: Column, path: Column, path_lengths: Sequence[int]) -> Colu
     suffixes = F.transform(
         F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), ".")
     )
-    prefixes = F.filter(
-        F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in path_lengths] or [F.lit(None).cast("string")]),
-        lambda p: p.isNotNull(),
-    )
+    lengths = F.lit(list(path_lengths)) if path_lengths else F.array().cast("array<int>")
+    prefixes = F.transform(F.filter(lengths, lambda n: n <= F.length(path)), lambda n: F.substring(path, F.lit(1), n))
     pairs = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(h, F.lit("\x00"), p))))
     return F.when(host != "", pairs).otherwise(F.array().cast("array<string>"))
 
@@ -67,11 +68,13 @@ def expressions(host: Column, path: Column, path_lengths: Sequence[int]) -> Colu
 def url_filter(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDICT) -> DataFrame:
     """page_id, host, path, rule, verdict.
 
-    ``rules`` (rule_host, rule_path, rule_verdict) must be unique in host and
-    path.  They are counted: up to BROADCAST_ROWS they are broadcast, beyond
-    that the distinct expressions are shuffled to them instead.
+    ``rules`` (rule_host, rule_path, rule_verdict) are counted: up to
+    BROADCAST_ROWS they are broadcast, beyond that the distinct expressions are
+    shuffled to them instead.  Of the rules' paths only the distinct lengths
+    come to the driver, numbers that the longest path bounds.
     """
-    lengths = sorted(r[0] for r in rules.select(F.length("rule_path")).distinct().limit(4096).collect())
+    rules = rules.filter("rule_host is not null and rule_path is not null").groupBy("rule_host", "rule_path").agg(F.max("rule_verdict").alias("rule_verdict"))
+    lengths = sorted(r[0] for r in rules.select(F.length("rule_path")).distinct().collect())
     full = digest(F.concat("rule_host", F.lit("\x00"), "rule_path"))
     keyed = rules.select(
         F.substring(full, 1, 8).alias("short"),
