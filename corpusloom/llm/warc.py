@@ -13,7 +13,9 @@ puts them into files that other tools read, ``read_files`` reads such files.
 Defined cases: a null html is an empty payload; rows that repeat are records
 each, and all that tie with the group's largest page_id are responses; a null
 page_id is written without the id header, is the smallest, and comes back null;
-an empty table gives an empty result; other columns are ignored.
+an archive without records gives no rows; a very long payload is one record, in
+an archive that may exceed ARCHIVE_BYTES by it; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 import zstandard as zstd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +44,11 @@ DICTIONARY_BYTES, TRAINING_BYTES = 16 << 10, 512 << 10
 LEVEL = 3
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANDATORY = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
+#: Header names that are asked for; they are found in any case.
+KNOWN = {
+    name.lower(): name
+    for name in (*MANDATORY, "Content-Type", "WARC-Payload-Digest", "WARC-Target-URI", "WARC-Profile", "WARC-Refers-To", "WARC-Refers-To-Target-URI", "X-Payload-Length", "X-Page-Id", "X-Refers-To-Page-Id")
+}
 
 
 class WarcError(ValueError):
@@ -68,12 +76,16 @@ class Record:
         version, *lines = head.decode().split("\r\n")
         if not gap or version not in ("WARC/1.0", "WARC/1.1"):
             raise WarcError(f"not a WARC record: {version[:40]!r}")
-        headers = {}
+        headers, last = {}, None
         for line in lines:
+            if line[:1] in (" ", "\t") and last is not None:  # goes on with the line before
+                headers[last] = f"{headers[last]} {line.strip()}".strip()
+                continue
             name, colon, value = line.partition(":")
             if not colon:
                 raise WarcError(f"bad header line {line[:40]!r}")
-            headers[name.strip()] = value.strip()
+            last = KNOWN.get(name.strip().lower(), name.strip())
+            headers[last] = value.strip()
         if missing := [h for h in MANDATORY if h not in headers]:
             raise WarcError(f"headers missing: {missing}")
         if not headers["Content-Length"].isdigit():
@@ -104,8 +116,29 @@ def write_archive(records: list[bytes]) -> bytes:
     return b"".join([struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)), dictionary, *(packer.compress(r) for r in records)])
 
 
+def frame_end(content: bytes, start: int) -> int:
+    """Where the Zstandard frame that begins at ``start`` ends: its header, its blocks, its checksum."""
+    try:
+        at = start + zstd.frame_header_size(content[start : start + 18])
+    except zstd.ZstdError as e:
+        raise WarcError(f"bad frame: {e}") from e
+    last = False
+    while not last:
+        if at + 3 > len(content):
+            raise WarcError("the last frame is cut short")
+        head = int.from_bytes(content[at : at + 3], "little")
+        last, kind, size = bool(head & 1), head >> 1 & 3, head >> 3
+        if kind == 3:
+            raise WarcError("bad frame: reserved block type")
+        at += 3 + (1 if kind == 1 else size)  # a block of one repeated byte stores it once
+    at += 4 if content[start + 4] & 4 else 0
+    if at > len(content):
+        raise WarcError("the last frame is cut short")
+    return at
+
+
 def read_archive(content: bytes) -> Iterator[Record]:
-    """The records of an archive, validated."""
+    """The records of an archive, validated; each frame is sliced out once."""
     if len(content) < 8:
         raise WarcError("archive too short")
     magic, size = struct.unpack_from("<II", content)
@@ -115,58 +148,78 @@ def read_archive(content: bytes) -> Iterator[Record]:
     if dictionary[:4] == ZSTD_MAGIC:  # the dictionary may itself be compressed
         dictionary = zstd.ZstdDecompressor().decompressobj().decompress(dictionary)
     opener = zstd.ZstdDecompressor(dict_data=zstd.ZstdCompressionDict(dictionary) if dictionary else None)
-    rest = memoryview(content)[8 + size :]
-    while rest:
-        if bytes(rest[:4]) != ZSTD_MAGIC:
+    at = 8 + size
+    while at < len(content):
+        if content[at : at + 4] != ZSTD_MAGIC:
             raise WarcError("a frame does not begin with the Zstandard magic")
-        frame = opener.decompressobj()
+        end = frame_end(content, at)
         try:
-            data = frame.decompress(rest)
+            data = opener.decompressobj().decompress(content[at:end])
         except zstd.ZstdError as e:
             raise WarcError(f"bad frame: {e}") from e
-        if not frame.eof:
-            raise WarcError("the last frame is cut short")
-        rest = rest[len(rest) - len(frame.unused_data) :] if frame.unused_data else rest[:0]
+        at = end
         yield Record.from_bytes(data)
 
 
-def page_record(page_id: int | None, url: str | None, payload: bytes, n: int, digest: str, refers_to: int | None, revisit: bool) -> bytes:
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}|{url}")
+def record_id(*facts: object) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, '|'.join(map(str, facts)))}>"
+
+
+def _line(text: str) -> str:
+    return "".join(c for c in text if c not in "\r\n")
+
+
+def page_record(page_id: int | None, url: str | None, payload: bytes, n: int, digest: str, refers: tuple[int | None, str | None] | None = None, nth: object = "", of_nth: object = "") -> bytes:
+    """A response, or with ``refers`` (page_id and url of the response) a revisit.
+
+    ``nth`` tells records of equal rows apart; ``of_nth`` is None if the response is one of several such.
+    """
     headers = {
-        "WARC-Type": "revisit" if revisit else "response",
-        "WARC-Record-ID": f"<urn:uuid:{name}>",
+        "WARC-Type": "response" if refers is None else "revisit",
+        "WARC-Record-ID": record_id(page_id, url, digest, nth),
         "WARC-Date": "1970-01-01T00:00:00Z",
         "Content-Type": "text/html",
         "WARC-Payload-Digest": f"sha1:{digest}",
         "X-Payload-Length": str(n),
     }
     if url is not None:
-        headers["WARC-Target-URI"] = "".join(c for c in url if c not in "\r\n")
+        headers["WARC-Target-URI"] = _line(url)
     if page_id is not None:
         headers["X-Page-Id"] = str(page_id)
-    if revisit:
+    if refers is not None:
         headers["WARC-Profile"] = SAME_PAYLOAD
-        if refers_to is not None:
-            headers["X-Refers-To-Page-Id"] = str(refers_to)
-    return Record(headers, b"" if revisit else payload).to_bytes()
+        if of_nth is not None:
+            headers["WARC-Refers-To"] = record_id(*refers, digest, of_nth)
+        if refers[1] is not None:
+            headers["WARC-Refers-To-Target-URI"] = _line(refers[1])
+        if refers[0] is not None:
+            headers["X-Refers-To-Page-Id"] = str(refers[0])
+    return Record(headers, payload if refers is None else b"").to_bytes()
 
 
 def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload (null for revisits), n_bytes, sha1 and refers_to; payloads are moved at most once."""
+    """page_id, url, payload (null for revisits), n_bytes, sha1, refers_to, its url, revisit and most; payloads are moved at most once.
+
+    ``most``: how often the most frequent row of the payload's group repeats.
+    """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"n_bytes": F.octet_length("payload").cast("long"), "sha1": F.sha1("payload"), "_key": F.sha2("payload", 256)})
     groups = (
         rows.filter(F.col("n_bytes") >= min_bytes)
+        .groupBy("_key", "page_id", "url")
+        .agg(F.count("*").alias("same"))
         .groupBy("_key")
-        .agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n_rows"))
+        .agg(F.max(F.struct("page_id", "url")).alias("best"), F.sum("same").alias("n_rows"), F.max("same").alias("most"))
         .filter("n_rows > 1")
+        .select("_key", F.col("best.page_id").alias("refers_to"), F.col("best.url").alias("refers_url"), "n_rows", "most")
     )
     found = skew_safe_lookup(rows, groups, "_key", "n_rows")
     revisit = F.col("n_rows").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
     return found.select(
-        "page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "n_bytes", "sha1", F.when(revisit, F.col("refers_to")).alias("refers_to"), revisit.alias("revisit")
-    )
+        "page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "n_bytes", "sha1", F.when(revisit, F.col("refers_to")).alias("refers_to"),
+        F.when(revisit, F.col("refers_url")).alias("refers_url"), revisit.alias("revisit"), F.coalesce("most", F.lit(1)).alias("most"),
+    )
 
 
 def archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -174,7 +227,7 @@ def archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
-        size = 0
+        size, written, part = 0, 0, TaskContext.get().partitionId()
 
         def close() -> pa.RecordBatch:
             content = write_archive(held)
@@ -183,9 +236,11 @@ def archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
         for batch in batches:
             for k in range(batch.num_rows):
-                page_id, url, payload, n, sha1, refers_to, revisit = (batch.column(c)[k].as_py() for c in range(7))
+                page_id, url, payload, n, sha1, refers_to, refers_url, revisit, most = (batch.column(c)[k].as_py() for c in range(9))
                 digest = base64.b32encode(bytes.fromhex(sha1)).decode()
-                held.append(page_record(page_id, url, payload or b"", n, digest, refers_to, revisit))
+                written += 1
+                nth = "" if most == 1 else f"{part}.{written}"
+                held.append(page_record(page_id, url, payload or b"", n, digest, (refers_to, refers_url) if revisit else None, nth, "" if most == 1 else None))
                 size += len(held[-1])
                 if size >= ARCHIVE_BYTES:
                     yield close()
@@ -218,7 +273,8 @@ def read_records(table: DataFrame, name: str = "name", payloads: bool = True) ->
                         raise WarcError("payload length differs")
                     digest = h.get("WARC-Payload-Digest", "").removeprefix("sha1:") or payload_digest(r.block)
                     rows.append((archive, nth, number(h, "X-Page-Id"), h.get("WARC-Target-URI"), h["WARC-Type"], r.block if payloads and response else None, len(r.block) if length is None else length, digest, number(h, "X-Refers-To-Page-Id")))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     return table.select(F.col(name).alias("name"), "content").mapInArrow(read, RECORD_SCHEMA)
 
@@ -247,7 +303,7 @@ def export(table: DataFrame, uri: str) -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """The records of .warc.zst files below a path."""
+    """The records of .warc.zst files below a path; Spark's reader takes files of up to 2 GB, ``export`` writes far smaller ones."""
     return read_records(spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path), "path", payloads)
 
 

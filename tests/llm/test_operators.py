@@ -3,10 +3,13 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusloom.llm import components, decontamination, exact_dedup, language_id, line_dedup, ngram_join, packing, pii, quality, url_filter, warc
@@ -89,6 +92,23 @@ def test_url_filter(spark, monkeypatch, broadcast):
     assert {r.verdict for r in url_filter.url_filter(pages(spark, URLS), rules.filter("false")).collect()} == {"allow"}
 
 
+@pytest.mark.parametrize("broadcast", [400_000, 0])
+def test_url_filter_takes_every_length_of_rule(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(url_filter, "BROADCAST_ROWS", broadcast)
+    sizes = range(1, 5001)
+    rules = spark.createDataFrame([("a.com", "/" + "x" * (n - 1), "block" if n % 2 else "allow") for n in sizes], "rule_host string, rule_path string, rule_verdict string")
+    urls = ["http://a.com/" + "x" * n for n in (0, 4097, 4999)] + ["http://b.a.com/xxy", "http://a.com/y" + "/z" * 3000, "http://a.com/xx", "http://a.com/xx"]
+    got = sorted((r.page_id, len(r.rule) - 5, r.verdict) for r in url_filter.url_filter(pages(spark, urls), rules).collect())
+    fits = [1, 4098, 5000, 3, 1, 3, 3]
+    assert got == [(k, n, "block" if n % 2 else "allow") for k, n in enumerate(fits)]
+
+
+def test_url_filter_of_equal_rules(spark):
+    rules = spark.createDataFrame([("a.com", "/", "allow"), ("a.com", "/", "block"), ("a.com", None, "block"), (None, "/", "block")], "rule_host string, rule_path string, rule_verdict string")
+    got = [(r.rule, r.verdict) for r in url_filter.url_filter(pages(spark, ["http://a.com/", "http://c.com/"]), rules).orderBy("page_id").collect()]
+    assert got == [("a.com/", "block"), (None, "allow")]
+
+
 @pytest.mark.parametrize("tile", [2048, 3])
 def test_ngram_join(spark, monkeypatch, tile):
     monkeypatch.setattr(ngram_join, "TILE_ROWS", tile)
@@ -208,12 +228,73 @@ def test_packing(spark):
     assert packing.pack(frame(spark, [])).count() == 0
 
 
-def test_encoder_equals_the_tokenizer():
+def test_encoder_equals_the_tokenizer(monkeypatch):
     from tokenizers import Tokenizer
 
-    tok, enc = Tokenizer.from_file(packing.default_tokenizer()), packing.Encoder(packing.default_tokenizer())
-    for t in ["  a b \n c", "a\n\n b", "x <|endoftext|>  y", " ", "\x1c \x1cq a", "tab\t b", "é\xa0 x", "it's  we're"]:
-        assert np.frombuffer(enc(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+    path = packing.default_tokenizer()
+    tok, enc = Tokenizer.from_file(path), packing.Encoder(path)
+    assert enc.fast is not None
+    rng = random.Random(11)
+    marks = ["a", "Zz", "é", "中", "1", "²", " ", "  ", "\n", "\t", "\xa0", "\u2003", "\x1c", "'s", "'ll", "!", "…", "\U0001f600", "\u0301", "ǆ"]
+    texts = ["  a b \n c", "a\n\n b", "x <|endoftext|>  y", " ", "\x1c \x1cq a", "tab\t b", "é\xa0 x", "it's  we're", "", " " * 700, "q" * 900 + " " * 300 + "r s", "a " * 400]
+    texts += ["".join(rng.choices(marks, k=rng.randrange(60))) for _ in range(400)]
+    for stretch in (packing.STRETCH, 7, 1):
+        monkeypatch.setattr(packing, "STRETCH", stretch)
+        for t in texts:
+            assert "".join(enc.stretches(t)) == t
+            assert np.frombuffer(enc(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+    assert packing.encoder_of(path) is packing.encoder_of(path)
+
+
+def test_irregular_vocabularies_go_to_the_tokenizer(tmp_path):
+    """A token that its own merge order cannot reach: joining by rank alone would make it."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(packing.default_tokenizer(), encoding="utf-8") as f:
+        data = json.load(f)
+    vocab = {c: k for k, c in enumerate(sorted(c for c in data["model"]["vocab"] if len(c) == 1))}
+    merges = [("a", "b"), ("b", "c"), ("a", "bc")]
+    data["model"]["vocab"] = vocab | {x + y: 256 + k for k, (x, y) in enumerate(merges)}
+    data["model"]["merges"], data["added_tokens"] = [list(m) for m in merges], []
+    path = tmp_path / "odd.json"
+    path.write_text(json.dumps(data), encoding="utf-8")
+    enc = packing.Encoder(str(path))
+    assert enc.fast is None and np.frombuffer(enc("abc"), "<u4").tolist() == Tokenizer.from_file(str(path)).encode("abc").ids == [256, vocab["c"]]
+
+
+def test_plan_is_near_the_optimum():
+    """Against the least number of sequences by exhaustive search, and against the program's bound."""
+    rng = random.Random(12)
+
+    def fewest(sizes, room):
+        sizes, best = sorted(sizes, reverse=True), [len(sizes)]
+
+        def go(k, bins):
+            if len(bins) >= best[0]:
+                return
+            if k == len(sizes):
+                best[0] = len(bins)
+                return
+            for i, b in enumerate(bins):
+                if b + sizes[k] <= room and b not in bins[:i]:
+                    go(k + 1, [*bins[:i], b + sizes[k], *bins[i + 1 :]])
+            go(k + 1, [*bins, sizes[k]])
+
+        go(0, [])
+        return best[0]
+
+    for _ in range(40):
+        room = rng.randrange(5, 25)
+        sizes = [rng.randrange(1, room + 1) for _ in range(rng.randrange(1, 10))]
+        packed, bound = packing.plan(np.bincount(sizes, minlength=room + 1), room)
+        assert sorted(x for c, m in packed for x in c * m) == sorted(sizes) and all(sum(c) <= room for c, _ in packed)
+        least = fewest(sizes, room)
+        assert bound <= least <= sum(m for _, m in packed) <= least + 1
+    need = np.bincount([rng.randrange(1, 1025) for _ in range(5000)] + [1024] * 30, minlength=1025)
+    packed, bound = packing.plan(need)
+    assert sum(m for _, m in packed) <= 1.01 * bound
 
 
 def test_warc(spark, tmp_path):
@@ -233,7 +314,7 @@ def test_warc(spark, tmp_path):
 
 
 def test_archives_are_validated():
-    record = warc.page_record(1, "u", b"abc", 3, warc.payload_digest(b"abc"), None, False)
+    record = warc.page_record(1, "u", b"abc", 3, warc.payload_digest(b"abc"))
     good = warc.write_archive([record] * 20)
     assert len(list(warc.read_archive(good))) == 20
     bad = [good[4:], good[:-3], b"", warc.write_archive([record.replace(b"abc", b"abd")]), warc.write_archive([record.replace(b"Length: 3", b"Length: 4")]), warc.write_archive([record.replace(b"WARC-Date", b"X-Date")])]
@@ -242,6 +323,41 @@ def test_archives_are_validated():
             list(warc.read_archive(content))
 
 
+def test_headers_in_any_case_and_folded():
+    record = warc.page_record(1, "u", b"abc", 3, warc.payload_digest(b"abc")).replace(b"WARC-Type", b"warc-type").replace(b"WARC-Date: ", b"Warc-date:\r\n ")
+    back = warc.Record.from_bytes(record.replace(b"Content-Length", b"content-length"))
+    assert back.block == b"abc" and back.headers["WARC-Type"] == "response" and back.headers["WARC-Date"] == "1970-01-01T00:00:00Z"
+
+
+def test_archives_of_many_records_and_of_none(spark):
+    import struct
+    import time
+
+    none = struct.pack("<II", warc.DICTIONARY_MAGIC, 0)
+    assert list(warc.read_archive(none)) == []
+    table = spark.createDataFrame([("x", bytearray(none))], "name string, content binary")
+    assert warc.read_records(table).count() == 0
+    rng = random.Random(4)
+    records = [warc.page_record(k, "u", bytes(rng.randrange(256) for _ in range(300)), 300, "", None) for k in range(3000)]
+    records = [r.replace(b"WARC-Payload-Digest: sha1:\r\n", b"") for r in records]
+    content = warc.write_archive(records + [warc.Record(warc.Record.from_bytes(records[0]).headers, b"a" * 3_000_000).to_bytes()])
+    began = time.perf_counter()
+    assert len(list(warc.read_archive(content))) == 3001 and time.perf_counter() - began < 5
+
+
+def test_record_ids_are_unique_and_revisits_name_their_response(spark):
+    rows = [(1, "a", "x"), (2, "b", "x"), (3, "c", "y"), (4, "c", "z"), (4, "c", "z"), (4, "c", "z"), (1, "q", "z"), (None, None, "x")]
+    held = []
+    for r in warc.archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect():
+        held += [x.headers for x in warc.read_archive(bytes(r.content))]
+    ids = [h["WARC-Record-ID"] for h in held]
+    assert len(set(ids)) == len(ids) == len(rows)
+    of = {h["WARC-Record-ID"]: h for h in held}
+    named = [(h.get("X-Page-Id"), of[h["WARC-Refers-To"]]["X-Page-Id"]) for h in held if "WARC-Refers-To" in h]
+    assert sorted(named, key=str) == [("1", "2"), (None, "2")]
+    assert [h["WARC-Refers-To-Target-URI"] for h in held if h.get("X-Refers-To-Page-Id") == "4"] == ["c"]
+
+
 def test_pii(spark):
     text = "é write bob.x@mail.example.com or 10.0.0.1, 999.1.1.1; card 4111 1111-1111 1111, 4111111111111112; +1 (555) 123-4567."
     rows = [(0, None), (1, text), (2, "call me (555) 123-4567 now"), (3, "mail bob (at) example (dot) com"), (4, "at 12:30:45 on 12/11/2024")]
@@ -255,6 +371,64 @@ def test_pii(spark):
     assert "[EMAIL]" in pii.redacted(text, pii.base_spans(text)) and pii.find_pii(frame(spark, [])).count() == 0
 
 
+CONTRACT = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def contract_spans(text):
+    """The base spans straight from the contract's patterns and words."""
+    out = []
+    for kind, pattern in CONTRACT.items():
+        for m in re.finditer(pattern, text):
+            digits = [int(c) for c in m[0] if c in "0123456789"]
+            doubled = [d * 2 for d in digits[-2::-2]]
+            ok = {
+                "email": True,
+                "ip": kind != "ip" or all(int(p) <= 255 for p in m[0].split(".")),
+                "card": 13 <= len(digits) <= 19 and (sum(digits[-1::-2]) + sum(d - 9 if d > 9 else d for d in doubled)) % 10 == 0,
+                "phone": 9 <= len(digits) <= 15,
+            }[kind]
+            if ok:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return ",".join(out)
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.text(alphabet="aZ0159.@+-_%() é\n", max_size=60))
+def test_pii_base_spans_are_those_of_the_contract(text):
+    assert pii.written(pii.base_spans(text)) == contract_spans(text)
+
+
+def test_pii_query_against_the_contract(spark):
+    rng = random.Random(21)
+    pieces = ["a.b@c.de", "x@y", "x@y.z_q@r.s", "@", "1.2.3.4", "1.2.3.256", "000.0.0.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+49 (30) 123456789", "+1", "jane (at) doe.org", "7", ".", " ", "\n", "é", "😀", "12345678901234567890"]
+    rows = [(i, "".join(rng.choices(pieces, k=rng.randrange(12)))) for i in range(150)] + [(7, "a@b.c"), (7, "a@b.c"), (None, "1.1.1.1"), (151, None)]
+    got = sorted((str(r.doc_id), r.base_sha256, r.n_email, r.n_ip, r.n_card, r.n_phone) for r in pii.find_pii(frame(spark, rows)).collect())
+    want = []
+    for i, t in rows:
+        spans = contract_spans(t or "")
+        want.append((str(i), hashlib.sha256(spans.encode()).hexdigest(), *(sum(x.startswith(k) for x in spans.split(",")) for k in CONTRACT)))
+    assert got == sorted(want)
+    for r in pii.find_pii(frame(spark, rows)).collect():
+        base = contract_spans(dict(rows)[r.doc_id] or "")
+        assert set(filter(None, base.split(","))) <= set(r.spans.split(","))
+
+
+def test_pii_of_long_runs():
+    """Runs that the patterns enter at every character take time in proportion to their length."""
+    import time
+
+    began = time.perf_counter()
+    for text in ("a" * 1_000_000 + " @", "0" * 1_000_000, "0" * 1_000_000 + ".0.0.1", "a.b@c " * 100_000, "@a" * 300_000, "1." * 300_000, "a.b@c.de " * 50_000 + "0" * 5000 + ".1.1.1"):
+        base = pii.base_spans(text)
+        pii.proposals(text, base)
+    assert len(base) == 50_001 and time.perf_counter() - began < 60
+
+
 def test_pii_spelled_at_needs_no_other_sign():
     text = "write to jane.doe (at) example.com today"
     texts = [text, f"{text}; dot", "jane[at]example.com", "contact info <at> foo.de", "he was at home.then he left", "arrived at noon.15 people"]
