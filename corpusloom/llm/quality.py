@@ -6,14 +6,16 @@ the covariance shrunk toward the pooled one and its diagonal; a text's score is
 the logistic of the difference of log densities, with squared Mahalanobis
 distances solved by the classes' cached Cholesky factors.
 
-The fit uses at most SAMPLE labelled rows (those with the smallest hash of the
-id); scoring reads every whole text once.  Shrinkage and temperature are chosen
+The fit uses at most SAMPLE labels and as many rows that have them (those with
+the smallest hash of the id, then in the order of id, label and statistics);
+scoring reads every whole text once.  Shrinkage and temperature are chosen
 on a third of that sample that the covariances did not see.
 
 Defined cases: null and empty texts are scored like any vector of zeros;
 without labels of both classes every score is 0.5 or the one class; a null
-quality or doc_id teaches nothing; repeated rows each get a row; an empty table
-gives an empty result; other columns (labels, lang, source) are never read.
+quality or doc_id teaches nothing; a very long text is one vector like others;
+repeated rows each get a row, and teach each; an empty table gives an empty
+result; other columns (labels, lang, source) are never read.
 """
 
 from __future__ import annotations
@@ -92,6 +94,14 @@ def features(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(measure, "doc_id bigint, x array<double>")
 
 
+def forward_substitution(lower: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """x of lower x = b for a lower triangular matrix, column by column of b at once."""
+    x = np.empty_like(b)
+    for k in range(len(lower)):
+        x[k] = (b[k] - lower[k, :k] @ x[:k]) / lower[k, k]
+    return x
+
+
 @dataclass
 class Discriminant:
     centre: np.ndarray
@@ -105,7 +115,7 @@ class Discriminant:
         z = (x - self.centre) / self.scale
         out = []
         for mean, factor in zip(self.means, self.factors, strict=True):
-            solved = np.linalg.solve(factor, (z - mean).T)
+            solved = forward_substitution(factor, (z - mean).T)
             out.append(-0.5 * (solved**2).sum(0) - np.log(np.diag(factor)).sum())
         return np.stack(out, 1)
 
@@ -158,13 +168,17 @@ def fit(x: np.ndarray, y: np.ndarray) -> Discriminant | Constant:
     return model
 
 
-def train(measured: DataFrame, labels: DataFrame) -> Discriminant | Constant:
-    """Fit on labelled rows of the training folds of measured documents (doc_id, x)."""
+def known_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality) of at most SAMPLE labels of the training folds: those with the smallest hashes."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.filter(F.col("quality").isin(0, 1) & (crc_mod("doc_id", 3) != 1))
-    few = known.withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id", "quality").limit(SAMPLE).drop("_h")
-    rows = measured.join(F.broadcast(few), "doc_id").select("doc_id", "x", "quality").limit(2 * SAMPLE).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.quality))
+    return known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(SAMPLE)
+
+
+def train(measured: DataFrame, few: DataFrame) -> Discriminant | Constant:
+    """Fit on measured documents (doc_id, x) that have a label in ``few``; where ids repeat, on the first SAMPLE rows in order."""
+    rows = measured.join(F.broadcast(few), "doc_id").select("doc_id", "x", "quality")
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "x").limit(SAMPLE).collect()
     return fit(np.array([r.x for r in rows]).reshape(len(rows), len(STATISTICS)), np.array([r.quality for r in rows], int))
 
 
@@ -183,13 +197,15 @@ def score(measured: DataFrame, model: Discriminant | Constant) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted; one row for each row of ``docs``."""
     measured = cut(features(docs))
-    scored = score(measured, train(measured, labels))
+    scored = score(measured, train(measured, known_labels(labels)))
     return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, with their columns."""
-    model = train(cut(features(docs)), labels)
+    few = cut(known_labels(labels))
+    taught = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few.select("doc_id").distinct()), "doc_id", "left_semi")
+    model = train(features(taught), few)  # only labelled rows are measured for the fit
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
