@@ -18,12 +18,14 @@ per document.
 Defined cases: null or wordless texts have no words and match nothing; an item
 of fewer words than a window is one window; items with the same words all
 count; items without an id mark words but are not counted; an empty benchmark
-hits nothing; repeated rows each get a row; other columns are ignored.
+hits nothing; a very long text is a segment of its own; repeated rows each get a
+row; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +38,8 @@ from .common import cut
 WINDOW = 10
 SEGMENT_BYTES = 4 << 20
 BLOCK_BYTES = 16 << 20
+#: Candidate starts of a segment that are looked at together (a window with more is looked at alone).
+SLICE = 1 << 20
 #: Bytes of words to themselves, A-Z to a-z, all else of ASCII to a space; bytes from 0x80 on are parts of words.
 _TABLE = bytes(
     b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256)
@@ -153,39 +157,58 @@ class Segment:
         self.slot = np.full(len(windows.terms) + 1, -1, np.int64)
         self.slot[own[own >= 0]] = np.flatnonzero(own >= 0)
 
-    def near(self, term: np.ndarray, position: np.ndarray, slop: int) -> np.ndarray:
-        """Does each term occur within slop of each position?"""
-        low = self.slot[term] * (self.n + 1) + np.maximum(position - slop, 0)
-        high = self.slot[term] * (self.n + 1) + np.minimum(position + slop, self.n - 1)
-        at = np.searchsorted(self.keys, low)
-        return (at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] <= high)
+    def near(self, term: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Does each term occur from the low to the high position?"""
+        base = self.slot[term] * (self.n + 1)
+        at = np.searchsorted(self.keys, base + low)
+        return (at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] <= base + high)
 
-    def matches(self, windows: Windows, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """Window numbers and start positions; with slop, each word within slop of its place."""
-        grid, length = windows.grid, windows.length
+    def matches(self, windows: Windows, slop: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Window numbers and start positions, in slices of about SLICE candidates.
+
+        With slop, a start (whose window's length fits into its document) matches
+        if each word occurs in that document within slop of its place.
+        """
+        grid = windows.grid
         if not len(grid) or not len(self.keys):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return
         often = np.where(grid >= 0, self.counts[grid], np.iinfo(np.int64).max)
         live = np.flatnonzero(often.min(1) > 0)
+        if not len(live):
+            return
         order = np.argsort(often[live], 1, kind="stable")
+        many = self.counts[grid[live, order[:, 0]]] * (2 * slop + 1)
+        cuts = np.flatnonzero(np.diff(np.cumsum(many) // SLICE)) + 1
+        for part in np.split(np.arange(len(live)), cuts):
+            yield self._slice(windows, live[part], order[part], slop)
+
+    def _slice(self, windows: Windows, live: np.ndarray, order: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
+        grid, length = windows.grid, windows.length.astype(np.int64)
         lead = grid[live, order[:, 0]]
         many = self.counts[lead]
         w = np.repeat(np.arange(len(live)), many)
         place = np.repeat(self.first[lead] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(int(many.sum()))
-        start = self.positions[place] - order[w, 0]
-        # A match lies in one document.
-        ok = (start >= 0) & (start + length[live[w]] <= self.n)
-        w, start = w[ok], start[ok]
-        doc = np.searchsorted(self.starts, start, "right") - 1
-        ok = start + length[live[w]] <= self.starts[doc + 1]
-        w, start = w[ok], start[ok]
+        at = self.positions[place]
+        doc = np.searchsorted(self.starts, at, "right") - 1  # a match lies in one document
+        if slop:
+            shift = np.arange(-slop, slop + 1)
+            w, doc = np.repeat(w, len(shift)), np.repeat(doc, len(shift))
+            at = (at[:, None] + shift).ravel()
+        start = at - order[w, 0]
+        ok = (start >= self.starts[doc]) & (start + length[live[w]] <= self.starts[doc + 1])
+        w, start, doc = w[ok], start[ok], doc[ok]
         for k in range(1, grid.shape[1]):
             off = order[w, k]
-            there = off < length[live[w]]
-            ok = ~there
-            ok[there] = self.near(grid[live[w[there]], off[there]], start[there] + off[there], slop)
-            w, start = w[ok], start[ok]
-        return live[w], start
+            ok = off >= length[live[w]]
+            there = np.flatnonzero(~ok)
+            place = start[there] + off[there]
+            low, high = np.maximum(place - slop, self.starts[doc[there]]), np.minimum(place + slop, self.starts[doc[there] + 1] - 1)
+            ok[there] = self.near(grid[live[w[there]], off[there]], low, high)
+            w, start, doc = w[ok], start[ok], doc[ok]
+        found = live[w]
+        if slop and len(found):  # a start that several places of the rarest term lead to
+            found, start = np.unique(np.stack([found, start]), axis=1)
+        return found, start
 
 
 HIT_SCHEMA = "doc_id bigint, segment bigint, nth int, n_words bigint, spans array<struct<s:bigint,e:bigint>>, items array<string>"
@@ -200,7 +223,8 @@ def find(index: DataFrame, windows: Windows, slop: int = 0) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 seg = Segment(row, wins)
-                which, start = seg.matches(wins, slop)
+                parts = list(seg.matches(wins, slop))
+                which, start = (np.concatenate([p[c] for p in parts] or [np.zeros(0, np.int64)]) for c in range(2))
                 doc = np.searchsorted(seg.starts, start, "right") - 1
                 by = np.lexsort((start, doc))
                 spans: list[list] = [[] for _ in seg.doc_ids]
@@ -288,15 +312,20 @@ def merged(column: str):
     return F.aggregate(F.array_sort(column), start, add)
 
 
-def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[object, str | None]], size: int = WINDOW) -> list[tuple]:
+def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[object, str | None]], size: int = WINDOW, slop: int = 0) -> list[tuple]:
     """The contract, straight from its words; for small tests."""
-    wins = [(str(i), ws[k : k + size]) for i, t in items if (ws := words((t or "").encode())) for k in range(max(1, len(ws) - size + 1))]
+
+    def split(text: str | None) -> list[str]:
+        lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+
+    wins = [(str(i), ws[k : k + size]) for i, t in items if (ws := split(t)) for k in range(max(1, len(ws) - size + 1))]
     out = []
     for doc_id, text in docs:
-        ws, hit, found = words((text or "").encode()), set(), set()
+        ws, hit, found = split(text), set(), set()
         for i, win in wins:
             for s in range(len(ws) - len(win) + 1):
-                if ws[s : s + len(win)] == win:
+                if all(x in ws[max(0, s + k - slop) : s + k + slop + 1] for k, x in enumerate(win)):
                     hit.update(range(s, s + len(win)))
                     found.add(i)
         out.append((doc_id, len(ws), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
