@@ -70,6 +70,32 @@ def sized_join(big: DataFrame, small: DataFrame, on, how: str, rows: int | None
     return big.join(F.broadcast(small) if n <= BROADCAST_ROWS else small, on, how)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for further columns, none of which ``df`` has (in any case)."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
+def keyed(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with a ``key`` for each row, unique and in the order of doc_id (without one: last).
+
+    It is doc_id itself unless a row has none or shares it; then rows are
+    numbered (equal ids by their texts), and written before use.
+    """
+    again = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n")).filter("doc_id is null or n > 1")
+    if again.isEmpty():
+        return docs.withColumn(key, F.col("doc_id").cast("long"))
+    (nth,) = fresh(docs, "nth")
+    order = (F.asc_nulls_last(F.col("doc_id").cast("long")), F.xxhash64("text"), F.col(nth))
+    rows = docs.withColumn(nth, F.monotonically_increasing_id()).orderBy(*order).drop(nth)
+    return cut(rows.withColumn(key, F.monotonically_increasing_id()))
+
+
 def skew_safe_lookup(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
     """Left join of ``rows`` to ``table`` (unique in ``key``) that no hot key can stall.
 

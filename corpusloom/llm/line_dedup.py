@@ -23,9 +23,12 @@ rest rounded up), so that their passages are found as others are.
 
 Candidates meet by a 64-bit hash; alignment compares 128 bits.
 
-Defined cases: a null text stays null; empty texts have nothing to delete;
-documents without doc_id, and rows that repeat a doc_id, are not compared with
-each other; an empty table gives an empty result; other columns are kept.
+Defined cases: a null text stays null; empty texts have nothing to delete; rows
+that share a doc_id follow each other in the order of their texts' hashes, rows
+without one come last, and each is compared with all before it, so that of
+repeated rows the first stays whole; a very long text costs what it shares with
+others; an empty table gives an empty result; other columns are kept, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -41,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, skew_safe_lookup
+from .common import BROADCAST_ROWS, cut, fresh, keyed, partitions, skew_safe_lookup
 
 MIN_BLOCK_WORDS = 8
 #: Scripts without spaces, and how many of their characters (marks included) count as a word.
@@ -55,6 +58,8 @@ _UNSPACED = re.compile("|".join(f"([{x}]+)" for x in LETTERS_A_WORD))
 _A_WORD = list(LETTERS_A_WORD.values())
 #: White space beyond ASCII; inside a line it divides words.
 _WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000]")
+#: Partners of one document that meet in a task with one copy of its lines, and places one copy of a document's lines is read for.
+FAN, PLACES = 64, 1024
 #: Bytes of removal lists that may be broadcast.
 BROADCAST_BYTES = 32 << 20
 
@@ -176,29 +181,42 @@ def windows(words: Sequence[int], core: Callable[[int, int], object], least: int
             yield (name, 0, trail), first, last + trail
 
 
-def common_blocks(earlier: Sequence, later: Sequence, before: Sequence[int], words: Sequence[int], least: int = MIN_BLOCK_WORDS) -> list[int]:
-    """Lines of ``later`` in runs of at least so many words that ``earlier`` has too; ``before`` and ``words`` count their words."""
+class Lines:
+    """A document's lines, where each stands, and its windows."""
+
+    def __init__(self, lines: Sequence, words: Sequence[int], least: int = MIN_BLOCK_WORDS):
+        self.lines, self.words, self.least = lines, words, least
+        self.at: dict = {}
+        for k, x in enumerate(lines):
+            self.at.setdefault(x, []).append(k)
+        self.windows: dict[tuple, list[tuple[int, int]]] = {}
+        for key, first, last in windows(words, lambda i, j: tuple(lines[i : j + 1]), least):
+            self.windows.setdefault(key, []).append((first, last))
+
+
+def common_blocks(earlier: Lines, later: Lines) -> list[int]:
+    """Lines of ``later`` in runs of at least so many words that ``earlier`` has too.
+
+    Only lines that both have are aligned, so that a pair costs no more than the
+    shorter document and what it shares.
+    """
+    shared = earlier.at.keys() & later.at.keys()
+    one, two = (sorted(k for x in shared for k in doc.at[x]) for doc in (earlier, later))
     gone: set[int] = set()
     run: list[int] = []
     at = None
-    for i, j in [*patience(earlier, later), (-2, -2)]:
+    pairs = patience([earlier.lines[k] for k in one], [later.lines[k] for k in two])
+    for i, j in [*((one[x], two[y]) for x, y in pairs), (-2, -2)]:
         if at != (i - 1, j - 1):
-            if sum(words[x] for x in run) >= least:
+            if sum(later.words[x] for x in run) >= later.least:
                 gone.update(run)
             run = []
         if j >= 0:
             run.append(j)
         at = (i, j)
-    if len(gone) < len(later):
-        names: dict[tuple, int] = {}
-
-        def core(lines: Sequence) -> Callable[[int, int], int]:
-            return lambda first, last: names.setdefault(tuple(lines[first : last + 1]), len(names))
-
-        held = {key for key, _, _ in windows(before, core(earlier), least)}
-        for key, first, last in windows(words, core(later), least):
-            if key in held:
-                gone.update(range(first, last + 1))
+    for key in earlier.windows.keys() & later.windows.keys():  # runs in another order
+        for first, last in later.windows[key]:
+            gone.update(range(first, last + 1))
     return sorted(gone)
 
 
@@ -241,41 +259,64 @@ def line_lists(docs: DataFrame) -> DataFrame:
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, gone) of pairs, from rows (a, sub, b, h, g, w) sorted by (a, sub, b); null b: the lines of ``a`` itself."""
+    key, own = None, None
     for batch in batches:
         ids, gone = [], []
         for k in range(batch.num_rows):
-            later, h1, g1, w1, h0, g0, w0 = (batch.column(c)[k].as_py() for c in range(7))
-            if lines := common_blocks(list(zip(h0, g0, strict=True)), list(zip(h1, g1, strict=True)), w0, w1):
-                ids.append(later)
+            a, sub, b, h, g, w = (batch.column(c)[k].as_py() for c in range(6))
+            doc = Lines(list(zip(h, g, strict=True)), w)
+            if b is None:
+                key, own = (a, sub), doc
+                continue
+            if (a, sub) != key:
+                raise RuntimeError("a document's lines do not lead its partners")
+            if lines := common_blocks(own, doc) if a < b else common_blocks(doc, own):
+                ids.append(max(a, b))
                 gone.append(lines)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "gone"])
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """(doc_id, gone): the lines (from 0) to delete from each document that has some."""
+    """(doc_id, gone): the lines (from 0) to delete from each document that has some; ids are unique.
+
+    Of each pair the document with fewer lines moves to the other, whose lines
+    are there once for every FAN partners: neither a holder of what everyone has
+    nor a long document gathers its partners in one task.
+    """
     lists = cut(line_lists(docs))
-    held = lists.select("doc_id", F.explode("k").alias("k"))
-    first = held.groupBy("k").agg(F.min("doc_id").alias("owner"), F.count("*").alias("df")).filter("df > 1")
-    pairs = skew_safe_lookup(held, first, "k", "df").filter("owner < doc_id").select("doc_id", "owner").distinct()
-    later = lists.drop("k")
-    earlier = later.select(F.col("doc_id").alias("owner"), F.col("h").alias("h0"), F.col("g").alias("g0"), F.col("w").alias("w0"))
-    rows = pairs.join(earlier, "owner").join(later, "doc_id").select("doc_id", "h", "g", "w", "h0", "g0", "w0")
+    held = lists.select("doc_id", F.size("h").alias("n"), F.explode("k").alias("k"))
+    first = held.groupBy("k").agg(F.min("doc_id").alias("owner"), F.min_by("n", "doc_id").alias("m"), F.count("*").alias("df")).filter("df > 1")
+    pairs = skew_safe_lookup(held, first, "k", "df").filter("owner < doc_id")
+    most = F.col("m") >= F.col("n")
+    pairs = cut(pairs.select(F.when(most, F.col("owner")).otherwise(F.col("doc_id")).alias("a"), F.when(most, F.col("doc_id")).otherwise(F.col("owner")).alias("b")).distinct())
+    fan = pairs.groupBy("a").agg(F.count("*").alias("n_pairs"), F.ceil(F.count("*") / FAN).alias("s"))
+    placed = skew_safe_lookup(pairs, fan, "a", "n_pairs").select("a", F.pmod(F.xxhash64("b"), F.col("s")).cast("int").alias("sub"), "b", F.col("b").alias("doc_id"))
+    own = fan.select("a", F.explode(F.sequence(F.lit(0), F.col("s").cast("int") - 1)).alias("sub"), F.lit(None).cast("long").alias("b"), F.col("a").alias("doc_id"))
+    places = placed.unionByName(own)
+    many = places.groupBy("doc_id").agg(F.count("*").alias("n_places"))
+    part = F.pmod(F.xxhash64("a", "sub", "b"), F.ceil(F.col("n_places") / PLACES))
+    places = skew_safe_lookup(places, many, "doc_id", "n_places").groupBy("doc_id", part.alias("part")).agg(F.collect_list(F.struct("a", "sub", "b")).alias("places"))
+    rows = lists.drop("k").join(places, "doc_id").select(F.explode("places").alias("p"), "h", "g", "w").select("p.a", "p.sub", "p.b", "h", "g", "w")
+    rows = rows.repartition(partitions(rows.sparkSession), "a", "sub").sortWithinPartitions("a", "sub", F.asc_nulls_first("b"))
     gone = rows.mapInArrow(_align, "doc_id bigint, gone array<int>")
     return gone.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with the deduplicated ``text``, and n_lines and n_removed (null text: 0)."""
-    found = cut(removals(docs).select(F.col("doc_id").alias("_id"), "gone"))
-    n, size = found.agg(F.count("*"), F.coalesce(F.sum(4 * F.size("gone") + 16), F.lit(0))).first()
+    key, mark, gone = fresh(docs, "key", "mark", "gone")
+    rows = keyed(docs, key)
+    found = cut(removals(rows.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias(mark), F.col("gone").alias(gone)))
+    n, size = found.agg(F.count("*"), F.coalesce(F.sum(4 * F.size(gone) + 16), F.lit(0))).first()
     near = n <= BROADCAST_ROWS and size <= BROADCAST_BYTES
-    out = docs.join(F.broadcast(found) if near else found, F.col("doc_id").cast("long") == F.col("_id"), "left")
-    lines = F.split("text", "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(lines, i + 1)), "\n"))
+    out = rows.join(F.broadcast(found) if near else found, F.col(key) == F.col(mark), "left")
+    lines = F.split(F.col("text").cast("string"), "\n", -1)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(lines, i + 1)), "\n"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("int")
     plain = [F.col(c) for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    return out.select(*plain, text.alias("text"), n_lines.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"))
+    return out.select(*plain, text.alias("text"), n_lines.alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).alias("n_removed"))
 
 
 def brute_force(docs: list[tuple[int, str | None]]) -> dict[int, str | None]:

@@ -145,7 +145,34 @@ def test_line_dedup(spark):
     assert got[0].text is None and got[last].source == "s"
     assert line_dedup.line_dedup(frame(spark, [])).count() == 0
     same = line_dedup.line_dedup(frame(spark, [(1, rows[-1][1]), (1, rows[-1][1]), (None, rows[-1][1])])).collect()
-    assert all(r.n_removed == 0 for r in same)
+    assert [(r.doc_id, r.n_removed) for r in same if not r.n_removed] == [(1, 0)] and sum(r.n_removed == 6 for r in same) == 2
+
+
+def test_line_dedup_numbers_rows_and_keeps_all_names(spark):
+    """Rows that share an id lose their own lines only; columns may have any name."""
+    block = "\n".join(f"line {k} of the block that repeats" for k in range(5))
+    other = "\n".join(f"line {k} that occurs nowhere else" for k in range(5))
+    rows = [(0, block), (1, f"{block}\ntail"), (1, other), (None, f"{other}\nend"), (None, None), (2, "")]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3, 4, 5) for i, t in rows], "doc_id long, text string, gone int, key int, _id int, Mark int, n_lines int")
+    got = line_dedup.line_dedup(docs)
+    assert sorted(got.columns) == sorted([*docs.columns, "n_removed"])
+    assert sorted(((r.doc_id, r.text, r.gone, r.Mark) for r in got.collect()), key=str) == sorted([(0, block, 1, 4), (1, "tail", 1, 4), (1, other, 1, 4), (None, "end", 1, 4), (None, None, 1, 4), (2, "", 1, 4)], key=str)
+
+
+def test_line_dedup_splits_owners_and_joins_by_shuffle(spark, monkeypatch):
+    """Holders of common passages among many partners, long documents among short ones, no broadcast."""
+    from corpusloom.llm import common
+
+    monkeypatch.setattr(line_dedup, "FAN", 3)
+    monkeypatch.setattr(line_dedup, "PLACES", 2)
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "HOT_KEYS", 1)
+    rng = random.Random(17)
+    lines = [sentence(rng, rng.randrange(2, 12)) for _ in range(40)]
+    rows = [(k, "\n".join(rng.choices(lines, k=rng.randrange(1, 6)))) for k in range(50)]
+    rows += [(60, "\n".join(lines)), (61, "\n".join(reversed(lines))), (62, "\n".join(lines[::2]))]
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(frame(spark, rows)).collect()}
+    assert got == line_dedup.brute_force(rows)
 
 
 def test_line_dedup_compares_all_documents(spark):
@@ -202,11 +229,19 @@ def test_decontamination(spark, monkeypatch, block):
     assert decontamination.decontaminate(frame(spark, []), bench).count() == 0
 
 
-def test_proximity(spark):
-    docs = frame(spark, [(1, "one filler two three"), (2, "one far far far far two three")])
-    items = spark.createDataFrame([(7, "one two three")], "item_id long, text string")
-    got = {r.doc_id: r.contaminated for r in decontamination.decontaminate(docs, items, slop=1).collect()}
-    assert got == {1: True, 2: False}
+@pytest.mark.parametrize("segment", [1, 40, 4 << 20])
+@pytest.mark.parametrize("slop", [0, 1, 2])
+def test_proximity(spark, monkeypatch, segment, slop):
+    """Whatever documents share a segment, and whichever term is the rarest there, against brute force."""
+    monkeypatch.setattr(decontamination, "SEGMENT_BYTES", segment)
+    monkeypatch.setattr(decontamination, "SLICE", 3)
+    rng = random.Random(slop)
+    rows = [(1, "one filler two three"), (2, "one far far far far two three"), (3, "one two filler"), (4, "three x"), (5, "two one three"), (6, None)]
+    rows += [(10 + k, " ".join(rng.choices(["one", "two", "three", "x", "Y,"], k=rng.randrange(9)))) for k in range(40)] + [(10, "one two three")]
+    items = [(7, "one two three"), (8, "x"), (9, "y three"), (11, "one one")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(tuple(r)[:6] for r in decontamination.decontaminate(frame(spark, rows), bench, slop=slop).collect())
+    assert got == sorted(decontamination.brute_force(rows, items, slop=slop))
 
 
 def test_packing(spark):
@@ -474,6 +509,41 @@ def test_quality(spark):
     assert {r.score for r in none} == {0.5} and quality.classify(frame(spark, []), known).count() == 0
 
 
+def test_quality_against_plain_formulas():
+    """Scores from determinants and inverses instead of factors."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 15))
+    x[:200, :5] *= 3
+    x[200:, 2] += 2
+    y = np.repeat([0, 1], 200)
+    model = quality._fit(x, y, (0.7, 0.2, 0.1))
+    model.temperature = 2.0
+    z = (x - model.centre) / model.scale
+    logs = []
+    for mean, factor in zip(model.means, model.factors):
+        sigma = factor @ factor.T
+        d = z - mean
+        logs.append(-0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(sigma), d) - 0.5 * np.log(np.linalg.det(sigma)))
+    want = 1 / (1 + np.exp(-((logs[1] - logs[0]) / 2.0)))
+    assert np.allclose(model.scores(x), want)
+    whole = np.stack([np.cov(((x - x.mean(0)) / model.scale)[y == c].T, bias=True) for c in (0, 1)])
+    pooled = whole.mean(0)
+    assert np.allclose(model.factors[0] @ model.factors[0].T, 0.7 * whole[0] + 0.2 * pooled + 0.1 * np.diag(np.diag(pooled)) + 1e-3 * np.eye(15))
+
+
+def test_quality_repeats_long_texts_and_order(spark):
+    rows, labels = labelled()
+    long = "word " * 300_000
+    known = spark.createDataFrame([*labels, *labels[:9]], "doc_id long, quality int, x int")
+    docs = frame(spark, [*rows, *rows[:7], (7, "another text of an id that is there"), (None, "a text without an id"), (5000, long)])
+    one, two = (sorted(((i, h, round(s, 9), p) for i, h, s, p in quality.classify(d, k).collect()), key=str) for d, k in ((docs, known), (docs.repartition(7), known.repartition(3))))
+    assert one == two and len(one) == len(rows) + 10
+    kept = quality.accepted(docs, known)
+    assert kept.columns == docs.columns
+    want = sorted(str(r[0]) for r in one if r[3] == 1)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == want
+
+
 def test_language_id(spark):
     rng = random.Random(4)
     words = {"xx": "the of and house water being".split(), "yy": "der und nicht haus wasser sein".split()}
@@ -484,25 +554,66 @@ def test_language_id(spark):
     assert all(got[i].lang_pred == lang for i, _, lang in rows[:80]) and got[103].lang_pred == "yy"
     assert all((got[i].lang_pred, got[i].score) == ("und", 0.0) for i in (100, 101, 102))
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got.values())
-    model = language_id.train(docs)
-    scorer = language_id.Scorer(model)
-    long = "ab" * 70  # far over LONGEST_WORD: every stretch counts
-    whole, cut = scorer.block([long, long[:40]])
-    assert whole is not None and cut is not None and not np.allclose(whole, cut)
-    assert [len(x.removeprefix(language_id.START)) for x in language_id.parts(long)] == [40, 40, 40, 20]
-    assert np.allclose(whole, model.log_probabilities(language_id.parts(long)).sum(0))
+    doubled = docs.unionByName(docs).withColumn("score", F.lit(1)).withColumn("lang_pred", F.lit("x")).withColumn("h", F.lit(2)).withColumn("nth", F.lit(3))
+    again = language_id.identify(doubled).collect()
+    assert len(again) == 2 * len(rows) and {(r.doc_id, r.lang_pred) for r in again} == {(i, r.lang_pred) for i, r in got.items()}
     assert language_id.identify(docs.filter("false")).count() == 0
     assert {r.lang_pred for r in language_id.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
 def test_forward_sums_all_segmentations():
     pieces = {"▁a": 1, "b": 2, "ab": 3, "▁": 4, "a": 5, "▁ab": 6}
-    p = np.zeros((8, 1))
+    p = np.zeros((7, 1))
     p[1:7, 0] = [0.1, 0.2, 0.05, 0.3, 0.15, 0.2]
     got = np.exp(language_id.Model(["x"], pieces, p).log_probabilities(["▁ab"]))[0, 0]
     assert np.isclose(got, 0.2 + 0.1 * 0.2 + 0.3 * 0.05 + 0.3 * 0.15 * 0.2)
 
 
+def segmentations(word, pieces):
+    """All ways to part a word into pieces; a lone letter that is no piece is piece 0."""
+    if not word:
+        yield []
+    for k in range(1, len(word) + 1):
+        number = pieces.get(word[:k], 0 if k == 1 else None)
+        if number is not None:
+            for rest in segmentations(word[k:], pieces):
+                yield [number, *rest]
+
+
+def test_lattice_against_all_segmentations(monkeypatch):
+    rng = random.Random(5)
+    for every, cells in ((1, 30), (3, 1 << 20)):
+        monkeypatch.setattr(language_id, "SCALE_EVERY", every)
+        monkeypatch.setattr(language_id, "CELLS", cells)
+        names = sorted({"".join(rng.choices("▁abc", k=rng.randrange(1, 8))) for _ in range(60)})
+        pieces = {x: k + 1 for k, x in enumerate(names)}
+        p = np.array([[rng.random() for _ in range(3)] for _ in range(len(pieces) + 1)])
+        model = language_id.Model(list("xyz"), pieces, p)
+        found = ["▁" + "".join(rng.choices("abcdé", k=rng.randrange(9))) for _ in range(60)]
+        often = np.array([float(rng.randrange(1, 5)) for _ in found])
+        ways = [[(s, p[s].prod(0)) for s in segmentations(w, pieces)] for w in found]
+        assert np.allclose(model.log_probabilities(found), np.log([sum(x for _, x in w) for w in ways]))
+        want, got = np.zeros(len(pieces) + 1), np.zeros(len(pieces) + 1)
+        for w, n in zip(ways, often):
+            for s, x in w:
+                for piece in s:
+                    want[piece] += n * x[0] / sum(y[0] for _, y in w)
+        for at in language_id.groups(found):
+            got += language_id.Lattice([found[k] for k in at], model.trie).expected(p[:, :1], often[at], len(pieces) + 1)
+        assert np.allclose(got, want)
+
+
+def test_words_of_any_length_and_all_public_pieces():
+    pieces = language_id.vocabulary(language_id.default_vocabulary())
+    assert max(map(len, pieces)) > 10
+    words = {"x": {"▁the": 5, "▁of": 3, "▁water": 1}, "y": {"▁der": 5, "▁und": 4, "▁wasser": 2}}
+    model = language_id.fit(words, pieces)
+    one, two, both = model.log_probabilities(["▁" + "thewater" * 500, "▁" + "derwasser" * 5000, "▁the"])
+    assert np.isfinite(one).all() and np.isfinite(two).all() and (two < one).all() and both.argmax() == 0
+    single, pair = model.log_probabilities(["▁ab", "▁ab" + "ab" * 200])
+    assert (pair < 30 * single).all()  # all of a long word counts
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
