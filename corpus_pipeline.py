@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's docs; all but the last return
 the columns of ``documents``.
+
+Defined cases of all stages: rows are decided one by one, whether their doc_id is
+null, shared or their own; a null text is kept as it is by all filters but the
+quality classifier, which scores it as an empty one, and is packed as its end id
+alone; empty tables give empty results; very long texts are taken whole; columns
+other than those of ``documents`` are left out.
 """
 
 from __future__ import annotations
@@ -13,24 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import decontamination, line_dedup, ngram_join, packing, quality
-from corpusloom.llm.common import cut, ensure_checkpoint_dir, read_table, sized_join
+from corpusloom.llm.common import cut, ensure_checkpoint_dir, keyed, read_table, sized_join
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a ``_key`` for each row, unique and in the order of doc_id (without one: last).
-
-    It is doc_id itself unless a row has none or shares it; then rows are numbered, and written before use.
-    """
-    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("doc_id is null or n > 1")
-    if again.isEmpty():
-        return docs.withColumn("_key", F.col("doc_id").cast("long"))
-    order = (F.asc_nulls_last("doc_id"), F.xxhash64("text"), F.col("_nth"))
-    rows = docs.withColumn("_nth", F.monotonically_increasing_id()).orderBy(*order).drop("_nth")
-    return cut(rows.withColumn("_key", F.monotonically_increasing_id()))
-
-
 def by_key(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("_key").alias("doc_id"), "text")
 
@@ -41,25 +34,25 @@ def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject; without labels of both classes it rejects all or none."""
     return quality.accepted(docs, read_table(spark, sf_dir, "labels")).select(*COLUMNS)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the blocks that an earlier document has; what is left empty by that goes."""
+    """Texts without the blocks that an earlier row has; what is left empty by that goes (of repeated rows all but the first)."""
     out = line_dedup.line_dedup(docs).filter((F.col("n_removed") == 0) | (F.trim("text") != ""))
     return out.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar texts, one row: that with the smallest id, rows without an id last."""
-    rows = keyed(docs)
+    rows = keyed(docs, "_key")
     return without(rows, ngram_join.ngram_join(by_key(rows)).filter("component_id <> doc_id"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without an occurrence of a benchmark window, with or without an id."""
-    rows = keyed(docs)
+    rows = keyed(docs, "_key")
     return without(rows, decontamination.decontaminate(by_key(rows), read_table(spark, sf_dir, "benchmark")).filter("contaminated"))
 
 
