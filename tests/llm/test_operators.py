@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corpusloom.llm import components, decontamination, exact_dedup, language_id, line_dedup, ngram_join, packing, pii, quality, url_filter, warc
+from corpusloom.llm import common, components, decontamination, exact_dedup, language_id, line_dedup, ngram_join, packing, pii, quality, url_filter, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n int, h string, rule string, score double"
 
@@ -161,8 +161,6 @@ def test_line_dedup_numbers_rows_and_keeps_all_names(spark):
 
 def test_line_dedup_splits_owners_and_joins_by_shuffle(spark, monkeypatch):
     """Holders of common passages among many partners, long documents among short ones, no broadcast."""
-    from corpusloom.llm import common
-
     monkeypatch.setattr(line_dedup, "FAN", 3)
     monkeypatch.setattr(line_dedup, "PLACES", 2)
     monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
@@ -651,5 +649,22 @@ def test_stages_decide_for_each_row(spark, tmp_path):
     assert ordered((r.doc_id, r.text) for r in joined.collect()) == ordered([(5, bench), (5, own), (7, twice), (3, copied), *none])
     clean = corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path))
     assert ordered((r.doc_id, r.text) for r in clean.collect()) == ordered(x for x in rows if bench not in (x[1] or ""))
-    usual = corpus_pipeline.keyed(docs.filter("doc_id = 3"))
+    usual = common.keyed(docs.filter("doc_id = 3"), "_key")
     assert usual.first()._key == 3
+
+
+def test_stages_on_empty_tables_nulls_and_repeats(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    block = "\n".join(sentence(rng, 12) for _ in range(3))
+    rows = [(1, block), (1, block), (2, f"{block}\nown words here"), (None, None), (None, block), (3, "")]
+    docs = frame(spark, rows).select(*corpus_pipeline.COLUMNS)
+    spark.createDataFrame([(None, None), (1, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, 1, 0), (2, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.line_dedup_stage(spark, docs, str(tmp_path)).collect()), key=str)
+    assert got == sorted([(1, block), (2, "own words here"), (None, None), (3, "")], key=str)
+    for (name, stage) in corpus_pipeline.STAGES:
+        none = stage(spark, docs.filter("false"), str(tmp_path))
+        assert none.count() == 0 and (name == "packing" or none.columns == list(corpus_pipeline.COLUMNS))
+    assert corpus_pipeline.packing_stage(spark, docs, str(tmp_path)).groupBy("doc_id").count().count() == 4
