@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +14,28 @@ from pyspark.sql import functions as F
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+_BREAK = re.compile(r" (?=\S)")
+
+
+def stretches(text: str, size: int) -> Iterator[str]:
+    """Consecutive parts of a text, of at most ``size`` characters where it can be parted so.
+
+    They part at spaces that a non-space follows: a pretoken always begins there.
+    """
+    start = 0
+    while len(text) - start > size:
+        at = text.rfind(" ", start + 1, start + size + 1)
+        while at > start and (at + 1 == len(text) or text[at + 1].isspace()):
+            at = text.rfind(" ", start + 1, at)
+        if at <= start:
+            found = _BREAK.search(text, start + 1)
+            at = found.start() if found else len(text)
+        yield text[start:at]
+        start = at
+    if start < len(text):
+        yield text[start:]
+
+
 def pretokens(text: Column) -> Column:
     """Pretokens of a text without special tokens; they tile it."""
     return F.regexp_extract_all(text, F.lit("(?U)" + PATTERN), F.lit(0))
@@ -81,6 +106,21 @@ def chunked(text: Column, size: int) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, i * size + 1, F.lit(size)))
 
 
+def _running_sums(sizes: pa.Array) -> pa.Array:
+    flat, bounds = sizes.flatten().to_numpy(zero_copy_only=False).astype(np.int64), sizes.offsets.to_numpy() - sizes.offsets[0].as_py()
+    ends = np.concatenate(([0], np.cumsum(flat)))
+    each = np.diff(bounds)
+    ends = ends[1:] - np.repeat(ends[bounds[:-1]], each)
+    parts = pa.StructArray.from_arrays([pa.array(ends - flat, pa.int32()), pa.array(ends, pa.int32())], ["start", "end"])
+    mask = sizes.is_null() if sizes.null_count else None
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), parts, mask=mask)
+
+
+def running_sums(sizes: Column) -> Column:
+    """array<struct<start, end>>: where each part starts and ends, by sums within an array of lengths."""
+    return F.arrow_udf(_running_sums, "array<struct<start:int,end:int>>")(sizes)
+
+
 def duration(seconds: Column) -> Column:
     """``M min S.SS sec``."""
     return F.format_string("%d min %.2f sec", F.floor(seconds / 60).cast("int"), seconds - F.floor(seconds / 60) * 60)

@@ -1,27 +1,37 @@
 """Byte-pair-encoding: training, encoding and decoding on DataFrames.
 
 Training counts distinct pretokens on the cluster; their table is far smaller
-than the corpus.  Up to ``max_local_words`` of them the sequential merge loop
-runs on the driver, beyond that ``train_bpe_distributed`` applies many
-independent merges per job and gives the same merges.
+than the corpus.  Up to ``max_local_bytes`` of them the sequential merge loop
+runs on the driver over flat arrays, beyond that ``train_bpe_distributed``
+applies many independent merges per job and gives the same merges.
+
+Encoding sends whole texts to Arrow functions, which give back flat buffers:
+ids, packed bytes or sums only, whichever a query needs.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
-from collections.abc import Iterator, Sequence
+import time
+from array import array
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-MAX_LOCAL_WORDS = 8_000_000
+#: Bytes of distinct pretokens that the driver trains on; its arrays take some 40 bytes for each.
+MAX_LOCAL_BYTES = 64 << 20
 UINT16_MAX = 65_535
-MEMO = 50_000
+#: Pretokens an encoder remembers, and characters of the longest.
+MEMO, MEMO_CHARS = 200_000, 64
+#: Characters that are encoded in one go.
+STRETCH = 1 << 17
 
 
 def pretoken_counts(docs: DataFrame, text: str = "text", specials: Sequence[str] = ()) -> DataFrame:
@@ -43,80 +53,133 @@ def base_vocabulary(specials: Sequence[str]) -> dict[int, bytes]:
     return vocab
 
 
-class _Leaderboard:
-    """The pairs with at least ``floor`` occurrences; rebuilt lower when none is left.
+class _Later:
+    """Orders names from the greatest down, for a heap of ties."""
 
-    A round needs only the best pair, so the many rare pairs are kept out of
-    the competition until the frequent ones are used up.
-    """
+    __slots__ = ("name",)
 
-    def __init__(self, counts: dict, name):
-        self.counts, self.name, self.floor, self.top = counts, name, 0, set()
+    def __init__(self, name: tuple[bytes, bytes]):
+        self.name = name
 
-    def changed(self, pair) -> None:
-        if self.counts.get(pair, 0) >= max(self.floor, 1):
-            self.top.add(pair)
-        else:
-            self.top.discard(pair)
+    def __lt__(self, other: _Later) -> bool:
+        return self.name > other.name
 
-    def best(self):
-        if not self.top:
-            leaders = heapq.nlargest(256, self.counts.values())
-            if not leaders or leaders[0] <= 0:
-                return None
-            self.floor = max(1, leaders[-1])
-            self.top = {p for p, n in self.counts.items() if n >= self.floor}
-        return max(self.top, key=lambda p: (self.counts[p], self.name(p)))
 
+class Symbols:
+    """The words' symbols in flat linked arrays, the count of each adjacent pair and the places where it begins.
 
-def merge_loop(words: list[tuple[bytes, int]], n_merges: int, first_id: int) -> list[tuple[bytes, bytes, int]]:
+    Places are listed when a pair comes into being and checked when it is merged,
+    so that a merge touches the occurrences of its pair and their neighbours only.
+    """
+
+    def __init__(self, data: np.ndarray, lengths: np.ndarray, weights: np.ndarray):
+        n = len(data)
+        ends = np.cumsum(lengths)
+        self.token = data.astype(np.int32)
+        self.next = np.arange(1, n + 1, dtype=np.int32)
+        self.back = np.arange(-1, n - 1, dtype=np.int32)
+        full = lengths > 0
+        self.next[ends[full] - 1] = -1
+        self.back[(ends - lengths)[full]] = -1
+        self.weight = np.repeat(weights.astype(np.int64), lengths)
+        self.counts: dict[int, int] = {}
+        self.places: dict[int, list[np.ndarray]] = {}
+        self.add(np.flatnonzero(self.next >= 0).astype(np.int32))
+
+    def keys(self, at: np.ndarray) -> np.ndarray:
+        return self.token[at].astype(np.int64) << 32 | self.token[self.next[at]]
+
+    def add(self, at: np.ndarray) -> list[int]:
+        """Count and list the pairs that begin at these places; their keys."""
+        keys = self.keys(at)
+        order = np.argsort(keys, kind="stable")
+        keys, at = keys[order], at[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+        sums = np.add.reduceat(self.weight[at], first).tolist() if len(first) else []
+        found = keys[first].tolist()
+        for key, n, part in zip(found, sums, np.split(at, first[1:]), strict=False):
+            self.counts[key] = self.counts.get(key, 0) + n
+            self.places.setdefault(key, []).append(part)
+        return found
+
+    def take(self, at: np.ndarray) -> None:
+        """Uncount the pairs that begin at these places."""
+        keys = self.keys(at)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+        sums = np.add.reduceat(self.weight[at[order]], first).tolist() if len(first) else []
+        for key, n in zip(keys[first].tolist(), sums, strict=True):
+            if key in self.counts:
+                self.counts[key] -= n
+
+    def merge(self, key: int, new: int) -> list[int]:
+        """Join the pair's occurrences from left to right into a new symbol; the keys of the pairs that come into being."""
+        left, right = key >> 32, key & 0xFFFFFFFF
+        at = np.sort(np.concatenate(self.places.pop(key)))
+        del self.counts[key]
+        follow = self.next[at]
+        at = at[(self.token[at] == left) & (follow >= 0)]
+        at = at[self.token[self.next[at]] == right]
+        if left == right and len(at):  # of a run of overlapping occurrences every second one
+            k = np.arange(len(at))
+            start = np.concatenate(([True], self.next[at[:-1]] != at[1:]))
+            at = at[(k - np.maximum.accumulate(np.where(start, k, 0))) % 2 == 0]
+        gone = self.next[at]
+        before, after = self.back[at], self.next[gone]
+        self.take(np.unique(np.concatenate((before[before >= 0], gone[after >= 0]))))
+        self.token[at], self.token[gone] = new, -1
+        self.next[at] = after
+        self.back[after[after >= 0]] = at[after >= 0]
+        before = self.back[at]
+        return self.add(np.unique(np.concatenate((before[before >= 0], at[after >= 0]))))
+
+
+def merge_symbols(symbols: Symbols, n_merges: int, first_id: int) -> list[tuple[bytes, bytes, int]]:
     """The merges (left, right, count): most frequent pair first, ties to the greater pair of bytes."""
-    tokens = [list(w) for w, _ in words]
-    weight = [n for _, n in words]
     names: dict[int, bytes] = {b: bytes([b]) for b in range(256)}
-    counts: dict[tuple[int, int], int] = defaultdict(int)
-    where: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for k, t in enumerate(tokens):
-        for pair in zip(t, t[1:], strict=False):
-            counts[pair] += weight[k]
-            where[pair].add(k)
-    board = _Leaderboard(counts, lambda p: (names[p[0]], names[p[1]]))
-    merges = []
-    while len(merges) < n_merges and (pair := board.best()) is not None:
-        left, right = pair
-        new = first_id + len(merges)
-        names[new] = names[left] + names[right]
-        merges.append((names[left], names[right], counts[pair]))
-        touched = set()
-        for k in where.pop(pair):
-            old, out, i = tokens[k], [], 0
-            while i < len(old):
-                if i + 1 < len(old) and old[i] == left and old[i + 1] == right:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(old[i])
-                    i += 1
-            if len(out) == len(old):
-                continue
-            for p in zip(old, old[1:], strict=False):
-                counts[p] -= weight[k]
-                touched.add(p)
-            for p in zip(out, out[1:], strict=False):
-                counts[p] += weight[k]
-                where[p].add(k)
-                touched.add(p)
-            tokens[k] = out
-        for p in touched:
-            if counts[p] <= 0:
-                del counts[p]
-                where.pop(p, None)
-            board.changed(p)
-        board.top.discard(pair)
-        counts.pop(pair, None)
+
+    def entry(key: int) -> tuple[int, _Later, int]:
+        return -symbols.counts[key], _Later((names[key >> 32], names[key & 0xFFFFFFFF])), key
+
+    heap = [entry(key) for key in symbols.counts]
+    heapq.heapify(heap)
+    merges: list[tuple[bytes, bytes, int]] = []
+    while heap and len(merges) < n_merges:
+        count, _, key = heapq.heappop(heap)
+        now = symbols.counts.get(key, 0)
+        if now <= 0:
+            continue
+        if now != -count:  # counts of listed pairs only fall
+            heapq.heappush(heap, entry(key))
+            continue
+        left, right, new = names[key >> 32], names[key & 0xFFFFFFFF], first_id + len(merges)
+        names[new] = left + right
+        merges.append((left, right, now))
+        for pair in symbols.merge(key, new):
+            heapq.heappush(heap, entry(pair))
     return merges
 
 
+def merge_loop(words: list[tuple[bytes, int]], n_merges: int, first_id: int) -> list[tuple[bytes, bytes, int]]:
+    """The merges of (word, count) pairs."""
+    data = np.frombuffer(b"".join(w for w, _ in words), np.uint8)
+    return merge_symbols(Symbols(data, np.array([len(w) for w, _ in words], np.int64), np.array([n for _, n in words], np.int64)), n_merges, first_id)
+
+
+def joined(parts: list, left, right, both) -> list:
+    """A sequence with each (left, right) from left to right replaced by ``both``."""
+    out, i = [], 0
+    while i < len(parts):
+        if i + 1 < len(parts) and parts[i] == left and parts[i + 1] == right:
+            out.append(both)
+            i += 2
+        else:
+            out.append(parts[i])
+            i += 1
+    return out
+
+
 @dataclass
 class BpeModel:
     """Vocabulary (id to bytes), merges in order, and special tokens."""
@@ -146,19 +209,33 @@ class BpeModel:
         return spark.createDataFrame(rows, "rank int, left binary, right binary, merged binary")
 
     # --- coding ---
-    def encoder(self) -> Encoder:
+    @cached_property
+    def _encoder(self) -> Encoder:
         return Encoder(self.ids, self.merges, self.specials)
 
-    def encode_column(self, spark: SparkSession, text: Column) -> Column:
-        """ids of a text column: pretokens in the JVM, merges in an Arrow UDF with a memo; no shuffle."""
+    def encoder(self) -> Encoder:
+        return self._encoder
+
+    def _column(self, spark: SparkSession, text: Column, kind: str, make) -> Column:
         shared = spark.sparkContext.broadcast(self.encoder())
 
-        @F.pandas_udf("array<int>")
-        def encode(parts: pd.Series) -> pd.Series:
-            enc = shared.value
-            return pd.Series([enc.parts(p) if p is not None else None for p in parts])
+        @F.arrow_udf(kind)
+        def run(texts: pa.Array) -> pa.Array:
+            return make(shared.value, texts)
+
+        return run(text.cast("string"))
+
+    def encode_column(self, spark: SparkSession, text: Column) -> Column:
+        """ids of a text column; no shuffle."""
+        return self._column(spark, text, "array<int>", Encoder.arrow_ids)
+
+    def packed_column(self, spark: SparkSession, text: Column) -> Column:
+        """ids of a text column as little-endian unsigned 16-bit integers; an id beyond them is an error."""
+        return self._column(spark, text, "binary", Encoder.arrow_packed)
 
-        return encode(T.segmented_pretokens(text, self.specials))
+    def summary_column(self, spark: SparkSession, text: Column) -> Column:
+        """struct of the number, least, greatest and sum of a text's ids (null text: null)."""
+        return self._column(spark, text, "struct<n:bigint,low:int,high:int,total:bigint>", Encoder.arrow_summary)
 
     def encode(self, docs: DataFrame, text: str = "text", to: str = "ids") -> DataFrame:
         return docs.withColumn(to, self.encode_column(docs.sparkSession, F.col(text)))
@@ -167,10 +244,10 @@ class BpeModel:
         """Text of an id array; unknown ids raise, malformed UTF-8 becomes U+FFFD."""
         shared = spark.sparkContext.broadcast(self.vocab)
 
-        @F.pandas_udf("binary")
-        def join(rows: pd.Series) -> pd.Series:
+        @F.arrow_udf("binary")
+        def join(rows: pa.Array) -> pa.Array:
             vocab = shared.value
-            return pd.Series([b"".join(vocab[int(k)] for k in r) if r is not None else None for r in rows])
+            return pa.array([b"".join(map(vocab.__getitem__, r)) if r is not None else None for r in rows.to_pylist()], pa.binary())
 
         return T.decoded(join(ids))
 
@@ -181,9 +258,9 @@ class BpeModel:
         """A SQL function of a text; a table function ``<name>_tokens(text)`` gives (pos, token_id)."""
         enc = self.encoder()
 
-        @F.pandas_udf("array<int>")
-        def encode(texts: pd.Series) -> pd.Series:
-            return pd.Series([enc.text(t) if t is not None else None for t in texts])
+        @F.arrow_udf("array<int>")
+        def encode(texts: pa.Array) -> pa.Array:
+            return enc.arrow_ids(texts)
 
         spark.udf.register(name, encode)
 
@@ -196,62 +273,168 @@ class BpeModel:
         spark.udtf.register(f"{name}_tokens", Tokens)
 
 
+def packed_ids(ids: np.ndarray) -> bytes:
+    """Little-endian unsigned 16-bit integers; an id beyond them is an error."""
+    if len(ids) and (ids.min() < 0 or ids.max() > UINT16_MAX):
+        raise ValueError("token id beyond uint16")
+    return ids.astype("<u2").tobytes()
+
+
 class Encoder:
-    """Greedy lowest-rank merging of pretokens, with a bounded memo."""
+    """Greedy lowest-rank merging of pretokens, with a bounded memo.
+
+    A *regular* vocabulary has a token of its own for each merge, with ids in the
+    order of merges, and merges each token's own bytes to that token: then any
+    merger that joins what makes the token of least id gives the same ids, and
+    tiktoken does so for whole texts.
+    """
 
     def __init__(self, ids: dict[bytes, int], merges: Sequence[tuple[bytes, bytes]], specials: Sequence[str]):
+        import regex
+
         self.ids, self.specials = ids, list(specials)
         self.rank = {pair: k for k, pair in enumerate(merges)}
         self.memo: dict[str, list[int]] = {}
+        self.special_ids = {s: ids[s.encode()] for s in specials}
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=lambda s: (-len(s), s)))) + ")") if self.specials else None
+        self.pretokens = regex.compile(T.PATTERN)
+        self.regular = self._is_regular()
+        self._merger = None
+
+    def _is_regular(self) -> bool:
+        try:
+            import tiktoken  # noqa: F401
+        except ImportError:
+            return False
+        made = [a + b for a, b in self.rank]
+        order = [self.ids.get(m, -1) for m in made]
+        if any(bytes([b]) not in self.ids for b in range(256)) or len(set(made)) < len(made) or any(x >= y for x, y in zip(order, order[1:], strict=False)):
+            return False
+        return all(k >= 0 for k in order) and all(self.merged(m) == [m] for m in made)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"memo": {}, "_merger": None}
+
+    def merged(self, raw: bytes) -> list[bytes]:
+        """The tokens of a pretoken's bytes."""
+        parts = [bytes([b]) for b in raw]
+        while len(parts) > 1:
+            best = min(zip(parts, parts[1:], strict=False), key=lambda p: self.rank.get(p, len(self.rank)))
+            if best not in self.rank:
+                break
+            parts = joined(parts, *best, best[0] + best[1])
+        return parts
 
     def word(self, pretoken: str) -> list[int]:
         if (known := self.memo.get(pretoken)) is not None:
             return known
-        parts = [bytes([b]) for b in pretoken.encode()]
-        while len(parts) > 1:
-            ranks = [self.rank.get(p, len(self.rank)) for p in zip(parts, parts[1:], strict=False)]
-            best = min(ranks)
-            if best == len(self.rank):
-                break
-            out, i = [], 0
-            while i < len(parts):
-                if i < len(ranks) and ranks[i] == best:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        self.memo[pretoken] = found = [self.ids[p] for p in parts]
+        found = [self.ids[p] for p in self.merged(pretoken.encode())]
+        if len(pretoken) <= MEMO_CHARS:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            self.memo[pretoken] = found
         return found
 
+    def _prepare(self) -> None:
+        """The merger of a regular vocabulary, whose numbers are ranks, and the ids of its numbers."""
+        import tiktoken
+
+        tokens = [*(bytes([b]) for b in range(256)), *(a + b for a, b in self.rank)]
+        self._ids = np.array([self.ids[raw] for raw in tokens], np.int32)
+        self._merger = tiktoken.Encoding(name="bpe", pat_str=T.PATTERN, mergeable_ranks={raw: k for k, raw in enumerate(tokens)}, special_tokens={}).encode_ordinary
+
+    def plain(self, text: str) -> np.ndarray:
+        """ids of a text without special tokens."""
+        if not self.regular:
+            return np.array(self._words(text), np.int32)
+        if self._merger is None:
+            self._prepare()
+        out = []
+        for part in T.stretches(text, STRETCH):
+            if len(part) > STRETCH:
+                out.append(np.array(self._words(part), np.int32))
+            else:
+                out.append(self._ids[np.frombuffer(array("I", self._merger(part)), np.uint32)])
+        return np.concatenate(out) if len(out) > 1 else out[0] if out else np.zeros(0, np.int32)
+
+    def _words(self, text: str) -> list[int]:
+        return [k for p in self.pretokens.findall(text) for k in self.word(p)]
+
     def parts(self, found) -> list[int]:
         """ids of (text, special) parts in order."""
         out: list[int] = []
         for p in found:
             if p["special"]:
-                out.append(self.ids[p["text"].encode()])
+                out.append(self.special_ids[p["text"]])
             else:
                 out += self.word(p["text"])
         return out
 
     def split(self, text: str) -> list[dict]:
         """(text, special) parts of a text, as the JVM expression gives them."""
-        import regex
-
-        cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=lambda s: (-len(s), s)))) + ")") if self.specials else None
         out = []
-        for k, piece in enumerate(cut.split(text) if cut else [text]):
+        for k, piece in enumerate(self.cut.split(text) if self.cut else [text]):
             if k % 2:
                 out.append({"text": piece, "special": True})
             else:
-                out += [{"text": p, "special": False} for p in regex.findall(T.PATTERN, piece)]
+                out += [{"text": p, "special": False} for p in self.pretokens.findall(piece)]
         return out
 
+    def array(self, text: str) -> np.ndarray:
+        """ids of a text."""
+        if self.cut is None or not any(s in text for s in self.specials):
+            return self.plain(text)
+        out = []
+        for k, piece in enumerate(self.cut.split(text)):
+            out.append(np.array([self.special_ids[piece]], np.int32) if k % 2 else self.plain(piece))
+        return np.concatenate(out)
+
     def text(self, text: str) -> list[int]:
-        return self.parts(self.split(text))
+        return self.array(text).tolist()
+
+    # --- Arrow columns of texts ---
+    def _flat(self, texts: pa.Array) -> Iterator[np.ndarray | None]:
+        for t in texts:
+            yield self.array(t.as_py()) if t.is_valid else None
+
+    def arrow_ids(self, texts: pa.Array) -> pa.Array:
+        rows = list(self._flat(texts))
+        sizes = np.array([0 if r is None else len(r) for r in rows], np.int64)
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        if ends[-1] >= 1 << 31:
+            raise ValueError("a batch of texts has more ids than an array of lists holds: make Arrow batches smaller")
+        values = pa.array(np.concatenate([r for r in rows if r is not None]) if ends[-1] else np.zeros(0, np.int32))
+        missing = np.array([r is None for r in rows], bool)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array(missing) if missing.any() else None)
+
+    def arrow_packed(self, texts: pa.Array) -> pa.Array:
+        return pa.array([None if r is None else packed_ids(r) for r in self._flat(texts)], pa.binary())
+
+    def arrow_summary(self, texts: pa.Array) -> pa.Array:
+        rows = [None if r is None else (len(r), int(r.min()) if len(r) else None, int(r.max()) if len(r) else None, int(r.sum(dtype=np.int64))) for r in self._flat(texts)]
+        kinds = [("n", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("total", pa.int64())]
+        return pa.array([None if r is None else dict(zip(("n", "low", "high", "total"), r, strict=True)) for r in rows], pa.struct(kinds))
+
+    def packed(self, text: str) -> bytes:
+        return packed_ids(self.array(text))
+
+    def write(self, chunks: Iterator[str], sink: Callable[[bytes], object], size: int = 1 << 20) -> int:
+        """Hand the packed ids of a text that comes in chunks to ``sink``, ``size`` bytes or more at a time; their number."""
+        from ..streaming.encode import flush
+
+        held, n, rest = bytearray(), 0, ""
+        for chunk in chunks:
+            done, rest = flush(self, rest + chunk)
+            held += packed_ids(np.array(done, np.int32))
+            n += len(done)
+            if len(held) >= size:
+                sink(bytes(held))
+                held.clear()
+        last = self.array(rest)
+        held += packed_ids(last)
+        if held:
+            sink(bytes(held))
+        return n + len(last)
 
     def iterate(self, chunks: Iterator[str]) -> Iterator[int]:
         """ids of a text that comes in chunks, in bounded memory."""
@@ -264,18 +447,42 @@ class Encoder:
         yield from self.text(rest)
 
 
-def train_bpe(docs: DataFrame, vocab_size: int, specials: Sequence[str] = (), text: str = "text", max_local_words: int = MAX_LOCAL_WORDS) -> BpeModel:
-    """A model of at most ``vocab_size`` tokens (at least the base vocabulary)."""
+def check_arguments(vocab_size: int, specials: Sequence[str]) -> None:
+    if isinstance(vocab_size, bool) or not isinstance(vocab_size, int):
+        raise TypeError("vocab_size is no whole number")
+    if vocab_size < 1:
+        raise ValueError("vocab_size is less than one")
+    if isinstance(specials, str) or any(not isinstance(s, str) or not s for s in specials):
+        raise ValueError("special tokens are a list of texts that are not empty")
+
+
+def train_bpe(docs: DataFrame, vocab_size: int, specials: Sequence[str] = (), text: str = "text", max_local_bytes: int = MAX_LOCAL_BYTES, timings: dict | None = None) -> BpeModel:
+    """A model of at most ``vocab_size`` tokens (fewer if no pair is left); ``timings`` takes the seconds and sizes of the phases."""
+    check_arguments(vocab_size, specials)
+    timings = {} if timings is None else timings
+    began = time.perf_counter()
     counted = pretoken_counts(docs, text, specials).persist()
     try:
-        if counted.count() > max_local_words:
-            return train_bpe_distributed(docs, vocab_size, specials, text)
-        rows = counted.orderBy("pretoken").toPandas()
+        n, size, total = counted.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("pretoken")), F.lit(0)), F.coalesce(F.sum("cnt"), F.lit(0))).first()
+        timings |= {"unique_pretokens": n, "total_pretokens": total, "count_seconds": time.perf_counter() - began}
+        if size > max_local_bytes:
+            model = train_bpe_distributed(counted, vocab_size, specials, counted=True)
+            timings["merge_seconds"] = time.perf_counter() - began - timings["count_seconds"]
+            return model
+        table = counted.select(F.col("pretoken").cast("binary").alias("w"), "cnt").toArrow()
     finally:
         counted.unpersist()
+    lengths, data = [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
+    for words in table.column("w").cast(pa.binary()).chunks:
+        bounds = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+        lengths.append(np.diff(bounds).astype(np.int64))
+        data.append(np.frombuffer(words.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]])
+    symbols = Symbols(np.concatenate(data), np.concatenate(lengths), table.column("cnt").to_numpy())
+    timings["initial_pairs"] = len(symbols.counts)
     vocab = base_vocabulary(specials)
-    words = [(p.encode(), int(n)) for p, n in zip(rows["pretoken"], rows["cnt"], strict=True)]
-    found = merge_loop(words, vocab_size - len(vocab), len(vocab))
+    found = merge_symbols(symbols, vocab_size - len(vocab), len(vocab))
+    timings["final_pairs"] = sum(n > 0 for n in symbols.counts.values())
+    timings["merge_seconds"] = time.perf_counter() - began - timings["count_seconds"]
     return _model(vocab, found, specials)
 
 
@@ -289,12 +496,14 @@ def independent(ranked: list[tuple[int, str, str]], complete: bool) -> list[tupl
     """The longest prefix of ranked pairs (n, l, r) that sequential rounds would take in this order.
 
     A pair is safe while no pair that shares a symbol with an accepted one occurs
-    as often: a merge's new pairs occur no more often than the old pair they grew from.
+    as often: a merge's new pairs occur no more often than the old pair they grew
+    from.  A pair of equal symbols grows new pairs from itself (a run of four is
+    two of its merges, side by side), so that nothing after it is safe.
     """
     taken, symbols = ranked[:1], set(ranked[0][1:]) if ranked else set()
     least = ranked[-1][0] if ranked else 0
     for n, left, right in ranked[1:]:
-        if n == least and not complete:
+        if taken[-1][1] == taken[-1][2] or (n == least and not complete):
             break
         if any(m >= n and (x in symbols or y in symbols) for m, x, y in ranked if (m, x, y) not in taken):
             break
@@ -303,12 +512,17 @@ def independent(ranked: list[tuple[int, str, str]], complete: bool) -> list[tupl
     return taken
 
 
-def train_bpe_distributed(docs: DataFrame, vocab_size: int, specials: Sequence[str] = (), text: str = "text", ranked: int = 256, cut_every: int = 8) -> BpeModel:
-    """The same merges by rounds of jobs over the table of distinct words, which stays on the cluster."""
+def train_bpe_distributed(docs: DataFrame, vocab_size: int, specials: Sequence[str] = (), text: str = "text", ranked: int = 256, cut_every: int = 8, counted: bool = False) -> BpeModel:
+    """The same merges by rounds of jobs over the table of distinct words, which stays on the cluster.
+
+    ``counted``: ``docs`` is that table (pretoken, cnt).
+    """
     from ..sources.shared import cut
 
+    check_arguments(vocab_size, specials)
     vocab = base_vocabulary(specials)
-    words = cut(pretoken_counts(docs, text, specials).select(T.hex_word(F.col("pretoken")).alias("w"), "cnt"))
+    table = docs if counted else pretoken_counts(docs, text, specials)
+    words = cut(table.select(T.hex_word(F.col("pretoken")).alias("w"), "cnt"))
     found: list[tuple[bytes, bytes, int]] = []
     rounds = 0
     while len(found) < vocab_size - len(vocab):

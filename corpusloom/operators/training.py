@@ -14,6 +14,34 @@ def get_batch(streams: DataFrame, length: int, start: Column, ids: str = "ids")
     return rows.withColumn("x", F.slice(ids, F.col("_s") + 1, length)).withColumn("y", F.slice(ids, F.col("_s") + 2, length)).drop("_s")
 
 
+def blocked(tokens: DataFrame, block: int = 4096) -> DataFrame:
+    """(block, ids) of a stream given as (pos, token_id): runs of ``block`` ids, in order."""
+    rows = tokens.groupBy(F.floor(F.col("pos") / block).alias("block")).agg(F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("s"))
+    return rows.select("block", F.col("s.token_id").alias("ids"))
+
+
+def random_batch(stream: DataFrame, n: int, size: int, length: int, seed: int, block: int = 4096, device: str = "cpu") -> DataFrame:
+    """(sample, x, y): ``size`` windows of a stream of ``n`` ids in blocks, starts drawn evenly from those with a label for each id.
+
+    A window asks for the blocks it touches by an equi-join; the stream itself is not moved but for those.
+    """
+    if device != "cpu":
+        raise RuntimeError(f"no device {device}: Spark's columns are in main memory")
+    if n <= length or length < 1 or size < 1:
+        raise ValueError("no window of that length has a label for each id")
+    draws = spark_range(stream, size).select(F.col("id").alias("sample"), F.floor(F.rand(seed) * (n - length)).cast("long").alias("start"))
+    # The draws are few and fixed before use, so that a repeated task joins the same starts.
+    asked = draws.select("*", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + length) / block))).alias("block"))
+    parts = asked.join(stream, "block").groupBy("sample", "start").agg(F.array_sort(F.collect_list(F.struct("block", "ids"))).alias("p"))
+    ids = F.slice(F.flatten(F.col("p.ids")), (F.col("start") - F.col("p")[0]["block"] * block + 1).cast("int"), length + 1)
+    return parts.select("sample", ids.alias("w")).select("sample", F.slice("w", 1, length).alias("x"), F.slice("w", 2, length).alias("y"))
+
+
+def spark_range(like: DataFrame, n: int) -> DataFrame:
+    """0 to n - 1 in one partition for each 100,000, however many cores there are: ``rand`` draws by partition."""
+    return like.sparkSession.range(0, n, 1, -(-n // 100_000))
+
+
 def cross_entropy(logits: Column, target: Column) -> Column:
     """log-sum-exp less the target's logit, safe from overflow."""
     top = F.array_max(logits)

@@ -68,7 +68,9 @@ stream AS (SELECT doc_id, (generate_subscripts(ids, 1) - 1)::INT AS pos, unnest(
 ALL_DOCS = "(SELECT d.doc_id, d.text, d.lang, coalesce(i.ids, []) AS ids FROM documents d LEFT JOIN docids i USING (doc_id))"
 
 VEC = "v AS (SELECT vec_id, label, vec_id // 10 AS seq, vec_id % 10 AS pos, (generate_subscripts(embedding, 1) - 1)::INT AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)"
-PHASE = {"linear": 0, "q": 1, "k": 2, "v": 3, "o": 4, "w1": 5, "w2": 6, "w3": 7}
+PHASE = {"linear": 0, "q": 1, "k": 2, "v": 3, "o": 4, "w1": 5, "w2": 6, "w3": 7, "lm": 8}
+#: The place of a vector's greatest component.
+ARGMAX = "(list_position(embedding, list_max(embedding)) - 1)"
 
 
 def product(name: str, source: str, d_out: int, d_in: int, out: str) -> str:
@@ -99,6 +101,48 @@ def multi_head(rotary: bool) -> str:
     return f"WITH {', '.join(parts)} SELECT vec_id, i, round(x, 6) + 0.0 AS y FROM y"
 
 
+def normed(source: str, gain: str, out: str) -> str:
+    return f"{out} AS (SELECT vec_id, seq, pos, i, x / sqrt(avg(x * x) OVER (PARTITION BY vec_id) + 1e-5) * {gain} AS x FROM {source})"
+
+
+def added(one: str, two: str, out: str) -> str:
+    return f"{out} AS (SELECT a.vec_id, a.seq, a.pos, a.i, a.x + b.x AS x FROM {one} a JOIN {two} b USING (vec_id, i))"
+
+
+def block(source: str, t: str) -> list[str]:
+    """CTEs of a pre-norm block; the last is ``{t}y``."""
+    gain = "(1 + 0.01 * i)"
+    return [
+        normed(source, gain, f"{t}n1"),
+        *(product(k, f"{t}n1", D, D, f"{t}{k}") for k in "qkv"),
+        turned(f"{t}q", D // HEADS, f"{t}rq"),
+        turned(f"{t}k", D // HEADS, f"{t}rk"),
+        attended(f"{t}rq", f"{t}rk", f"{t}v", HEADS, "b.pos <= a.pos", f"{t}att"),
+        product("o", f"{t}att", D, D, f"{t}o"),
+        added(source, f"{t}o", f"{t}h"),
+        normed(f"{t}h", gain, f"{t}n2"),
+        product("w1", f"{t}n2", FF, D, f"{t}a"),
+        product("w3", f"{t}n2", FF, D, f"{t}b"),
+        f"{t}g AS (SELECT a.vec_id, a.seq, a.pos, a.i, a.x / (1 + exp(-a.x)) * b.x AS x FROM {t}a a JOIN {t}b b USING (vec_id, i))",
+        product("w2", f"{t}g", D, FF, f"{t}f"),
+        added(f"{t}h", f"{t}f", f"{t}y"),
+    ]
+
+
+def literal(h: str) -> str:
+    """SQL for the bytes literal of a hexadecimal text."""
+    digit = "instr('0123456789abcdef', x[{0}]) - 1"
+    values = f"list_transform(regexp_extract_all({h}, '..'), lambda x: 16 * ({digit.format(1)}) + {digit.format(2)})"
+    mark = f"CASE WHEN list_contains({values}, 34) THEN chr(92) || chr(39) ELSE chr(39) END"
+    quote = f"CASE WHEN list_contains({values}, 39) AND NOT list_contains({values}, 34) THEN chr(34) ELSE chr(39) END"
+    named = " ".join(f"WHEN b = {b} THEN chr(92) || '{c}'" for b, c in ((9, "t"), (10, "n"), (13, "r"), (92, "\\")))
+    one = f"CASE {named} WHEN b = 39 THEN {mark} WHEN b BETWEEN 32 AND 126 THEN chr(b::INT) ELSE chr(92) || 'x' || lpad(lower(to_hex(b)), 2, '0') END"
+    return f"'b' || {quote} || array_to_string(list_transform({values}, lambda b: {one}), '') || {quote}"
+
+
+UTF8 = "CASE WHEN token_id < 128 THEN chr(token_id) WHEN token_id < 256 THEN NULL ELSE try(decode(unhex(hex))) END"
+
+
 def oracle_sql() -> dict[str, str]:
     specials = r"\. |<\|end\|>"
     conv = "SELECT unnest(" + pretokens("text") + ") AS p FROM conversations"
@@ -118,8 +162,16 @@ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS
         "byte_counts": f"WITH {COUNTS}, {TOKENS} SELECT b AS byte, sum(cnt)::BIGINT AS n FROM (SELECT unnest(t) AS b, cnt FROM toks) GROUP BY b",
         "initial_pair_counts": f"WITH {COUNTS}, {TOKENS} SELECT p[1] AS l, p[2] AS r, sum(cnt)::BIGINT AS n FROM (SELECT unnest({PAIRS}) AS p, cnt FROM toks WHERE len(t) > 1) GROUP BY ALL",
         "pair_postings": f"WITH {COUNTS}, {TOKENS} SELECT p[1] AS l, p[2] AS r, count(DISTINCT pretoken) AS n_words FROM (SELECT unnest({PAIRS}) AS p, pretoken FROM toks WHERE len(t) > 1) GROUP BY ALL",
+        "pair_posting_lists": f"WITH {COUNTS}, {TOKENS} SELECT DISTINCT p[1] AS l, p[2] AS r, pretoken FROM (SELECT unnest({PAIRS}) AS p, pretoken FROM toks WHERE len(t) > 1)",
+        "bpe_merges_distributed": f"WITH RECURSIVE {trained()} SELECT rank::INT AS rank, l, r, n::BIGINT AS n FROM merges",
+        "bytes_repr": f"{train_out} SELECT token_id, {literal('hex')} AS literal FROM vocab",
+        "vocab_json": f"{train_out} SELECT token_id, hex, {literal('hex')} AS literal, {UTF8} AS utf8, (length(hex) // 2)::INT AS n_bytes FROM vocab",
+        "merges_text": f"{train_out} SELECT rank::INT AS rank, rank || chr(9) || {literal('l')} || chr(9) || {literal('r')} || chr(9) || {literal('l || r')} AS line FROM merges",
+        "transformer_block": f"WITH {', '.join([VEC, *block('v', 't_')])} SELECT vec_id, i, round(x, 6) + 0.0 AS y FROM t_y",
+        "transformer_lm": f"""WITH e AS (SELECT vec_id, vec_id // 10 AS seq, vec_id % 10 AS pos, i::INT AS i, 0.1 * sin(0.1 * ({ARGMAX} * {D} + i) + 9) AS x FROM embeddings, range({D}) t(i)),
+{', '.join([*block('e', 's_'), *block('s_y', 't_'), normed('t_y', '1', 'z'), product('lm', 'z', 64, D, 'y')])} SELECT vec_id, i, round(x, 6) + 0.0 AS y FROM y""",
         "bpe_merges": f"WITH RECURSIVE {trained()} SELECT rank::INT AS rank, l, r, n::BIGINT AS n FROM merges",
-        "bpe_vocab": f"{train_out} SELECT token_id, hex, CASE WHEN token_id < 128 THEN chr(token_id) WHEN token_id < 256 THEN NULL ELSE try(decode(unhex(hex))) END AS utf8 FROM vocab",
+        "bpe_vocab": f"{train_out} SELECT token_id, hex, {UTF8} AS utf8 FROM vocab",
         "encode_tokens": f"{STREAM} SELECT doc_id, pos, token_id FROM stream",
         "encode_with_specials": f"""{encoded(conv, ("<|end|>",))},
 placed AS (SELECT conv_id, turn, unnest({pretokens('text')}) AS pretoken FROM conversations),
@@ -148,7 +200,7 @@ SELECT i::INT AS byte, (CASE WHEN v THEN i ELSE 255 + row_number() OVER (PARTITI
 round(sum(strlen(text)) / nullif(sum(len(ids)), 0), 6) AS bytes_per_token FROM {ALL_DOCS} GROUP BY lang""",
         "streaming_encode": f"{STREAM} SELECT doc_id, len(ids)::INT AS n_tokens, coalesce(list_sum(ids), 0)::BIGINT AS id_sum FROM {ALL_DOCS}",
         "linear": f"WITH {VEC}, {product('linear', 'v', D, D, 'y')} SELECT vec_id, i, round(x, 6) + 0.0 AS y FROM y",
-        "embedding_lookup": "SELECT vec_id, i::INT AS i, round(0.1 * sin(0.1 * ((vec_id % 64) * 8 + i) + 9), 6) AS y FROM embeddings, range(8) t(i)",
+        "embedding_lookup": f"SELECT vec_id, i::INT AS i, round(0.1 * sin(0.1 * ({ARGMAX} * 8 + i) + 9), 6) AS y FROM embeddings, range(8) t(i)",
         "rope": f"WITH {VEC}, {turned('v', D, 'y')} SELECT vec_id, i, round(x, 6) + 0.0 AS y FROM y",
         "rmsnorm": f"WITH {VEC} SELECT vec_id, i, round(x / sqrt(avg(x * x) OVER (PARTITION BY vec_id) + 1e-5) * (1 + 0.01 * i), 6) AS y FROM v",
         "sigmoid_silu": f"WITH {VEC} SELECT vec_id, i, round(1 / (1 + exp(-x)), 6) AS sigmoid, round(x / (1 + exp(-x)), 6) AS silu FROM v",

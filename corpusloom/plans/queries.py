@@ -14,7 +14,7 @@ from ..functions import tensor as X
 from ..functions import text as T
 from ..functions.bytes import bytes_literal
 from ..operators import training
-from ..operators.bpe import BpeModel, pretoken_counts as count_pretokens, train_bpe
+from ..operators.bpe import BpeModel, pretoken_counts as count_pretokens, train_bpe, train_bpe_distributed
 from ..sources import artifacts
 from ..sources.shared import shared_dir
 from ..streaming.encode import encode_stream
@@ -46,10 +46,10 @@ def pretoken_totals(spark, sf_dir):
 
 
 def pretoken_spans(spark, sf_dir):
-    """Offsets (code points) as running sums of lengths."""
-    rows = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.transform(T.pretokens(F.col("text")), lambda p: F.length(p))).alias("pos", "size"))
-    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("end_at", F.sum("size").over(w)).select("doc_id", "pos", (F.col("end_at") - F.col("size")).alias("start_at"), "end_at")
+    """Offsets (code points) as running sums of lengths, within each text's array: nothing is shuffled."""
+    sizes = F.transform(T.pretokens(F.col("text")), lambda p: F.length(p))
+    rows = _docs(spark, sf_dir).select("doc_id", F.posexplode(T.running_sums(sizes)).alias("pos", "s"))
+    return rows.select("doc_id", "pos", F.col("s.start").alias("start_at"), F.col("s.end").alias("end_at"))
 
 
 def special_split(spark, sf_dir):
@@ -80,15 +80,29 @@ def pair_postings(spark, sf_dir):
     return rows.groupBy(F.col("p.l").alias("l"), F.col("p.r").alias("r")).agg(F.count("*").alias("n_words"))
 
 
+def pair_posting_lists(spark, sf_dir):
+    """The words of each pair, a row for each: no pair's list is gathered in one place."""
+    rows = _words(spark, sf_dir).select("pretoken", F.explode(F.array_distinct(T.adjacent_pairs(F.col("tokens")))).alias("p"))
+    return rows.select("p.l", "p.r", "pretoken")
+
+
 # --- training and coding ---
 
 
-def bpe_merges(spark, sf_dir):
-    m = _train(spark, sf_dir)
+def _merge_rows(spark: SparkSession, m: BpeModel) -> DataFrame:
     rows = [(k, a.hex(), b.hex(), n) for k, ((a, b), n) in enumerate(zip(m.merges, m.counts, strict=True))]
     return spark.createDataFrame(rows, "rank int, l string, r string, n long")
 
 
+def bpe_merges(spark, sf_dir):
+    return _merge_rows(spark, _train(spark, sf_dir))
+
+
+def bpe_merges_distributed(spark, sf_dir):
+    """The same merges by rounds of jobs."""
+    return _merge_rows(spark, train_bpe_distributed(_docs(spark, sf_dir), 256 + MERGES))
+
+
 def bpe_vocab(spark, sf_dir):
     v = _train(spark, sf_dir).vocab_frame(spark)
     return v.select("token_id", F.lower(F.hex("bytes")).alias("hex"), T.decoded_or_null(F.col("bytes")).alias("utf8"))
@@ -109,12 +123,24 @@ def encode_with_specials(spark, sf_dir):
     return ids.select("conv_id", "turn", F.size("ids").alias("n_tokens"), F.element_at("ids", -1).alias("last_id"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, i: a + i).alias("id_sum"))
 
 
+def _summaries(spark, sf_dir) -> DataFrame:
+    """Documents with sums over their ids (struct t); the ids themselves stay where they are made."""
+    m = _train(spark, sf_dir)
+    return _docs(spark, sf_dir).select("doc_id", "lang", "text", m.summary_column(spark, F.col("text")).alias("t"))
+
+
 def doc_token_counts(spark, sf_dir):
-    return _encoded(spark, sf_dir).select("doc_id", F.size("ids").alias("n_tokens"))
+    return _summaries(spark, sf_dir).select("doc_id", F.col("t.n").cast("int").alias("n_tokens"))
+
+
+def _weighted_tokens(spark, sf_dir) -> DataFrame:
+    """(token_id, cnt): each distinct pretoken is encoded once and weighs as often as it occurs."""
+    m = _train(spark, sf_dir)
+    return m.encode(pretoken_counts(spark, sf_dir), "pretoken").select(F.explode("ids").alias("token_id"), "cnt")
 
 
 def token_frequency(spark, sf_dir):
-    return encode_tokens(spark, sf_dir).groupBy("token_id").agg(F.count("*").alias("n"))
+    return _weighted_tokens(spark, sf_dir).groupBy("token_id").agg(F.sum("cnt").alias("n"))
 
 
 def decode_roundtrip(spark, sf_dir):
@@ -129,17 +155,17 @@ def decode_invalid_utf8(spark, sf_dir):
 
 
 def token_stream_stats(spark, sf_dir):
-    rows = encode_tokens(spark, sf_dir)
-    return rows.agg(F.count("*").alias("n_tokens"), F.coalesce(F.min("token_id"), F.lit(0)).alias("min_id"), F.coalesce(F.max("token_id"), F.lit(0)).alias("max_id"))
+    rows = _weighted_tokens(spark, sf_dir)
+    return rows.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("n_tokens"), F.coalesce(F.min("token_id"), F.lit(0)).alias("min_id"), F.coalesce(F.max("token_id"), F.lit(0)).alias("max_id"))
 
 
 def token_stream_sha256(spark, sf_dir):
-    ids = artifacts.checked_uint16(_encoded(spark, sf_dir))
-    return ids.select("doc_id", F.sha2(F.unhex(artifacts.payload_hex(F.col("ids"))), 256).alias("sha256"))
+    m = _train(spark, sf_dir)
+    return _docs(spark, sf_dir).select("doc_id", F.sha2(m.packed_column(spark, F.col("text")), 256).alias("sha256"))
 
 
 def compression_ratio(spark, sf_dir):
-    rows = _encoded(spark, sf_dir).groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n_bytes"), F.sum(F.size("ids")).alias("n_tokens"))
+    rows = _summaries(spark, sf_dir).groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n_bytes"), F.sum("t.n").alias("n_tokens"))
     return rows.select("lang", "n_bytes", "n_tokens", F.round(F.try_divide(F.col("n_bytes"), F.col("n_tokens")), 6).alias("bytes_per_token"))
 
 
@@ -147,8 +173,8 @@ def cross_corpus_compression(spark, sf_dir):
     m = _train(spark, sf_dir)
     out = None
     for table, column in (("documents", "text"), ("pages", "html"), ("conversations", "text"), ("benchmark", "text")):
-        part = m.encode(_docs(spark, sf_dir, table).select(F.col(column).alias("text")))
-        part = part.agg(F.lit(table).alias("corpus"), F.sum(F.octet_length("text")).alias("n_bytes"), F.sum(F.size("ids")).cast("long").alias("n_tokens"))
+        part = _docs(spark, sf_dir, table).select(F.col(column).alias("text"), m.summary_column(spark, F.col(column)).alias("t"))
+        part = part.agg(F.lit(table).alias("corpus"), F.sum(F.octet_length("text")).alias("n_bytes"), F.sum("t.n").alias("n_tokens"))
         out = part if out is None else out.unionByName(part)
     return out.select("corpus", "n_bytes", "n_tokens", F.round(F.try_divide(F.col("n_bytes"), F.col("n_tokens")), 6).alias("bytes_per_token"))
 
@@ -204,21 +230,23 @@ def merges_text(spark, sf_dir):
 
 def manifest(spark, sf_dir):
     """A sidecar row for each split of the corpus: tokens, extreme ids, bytes per token."""
-    rows = _encoded(spark, sf_dir).select("lang", F.octet_length("text").alias("b"), "ids")
-    rows = rows.groupBy(F.col("lang").alias("split_name")).agg(
-        F.sum(F.size("ids")).alias("token_count"), F.min(F.array_min("ids")).alias("min_id"), F.max(F.array_max("ids")).alias("max_id"), F.sum("b").alias("input_bytes")
+    rows = _summaries(spark, sf_dir).groupBy(F.col("lang").alias("split_name")).agg(
+        F.sum("t.n").alias("token_count"), F.min("t.low").alias("min_id"), F.max("t.high").alias("max_id"), F.sum(F.octet_length("text")).alias("input_bytes")
     )
     return rows.withColumn("bytes_per_token", F.round(F.try_divide("input_bytes", "token_count"), 6)).orderBy("split_name")
 
 
 def streaming_encode(spark, sf_dir):
-    """Documents as ordered chunks through the stateful encoder; token counts as of whole texts."""
+    """Documents as ordered chunks through the stateful encoder in several micro-batches; token counts as of whole texts."""
     m = _train(spark, sf_dir)
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     rows = _docs(spark, sf_dir).select(F.col("doc_id").alias("stream_id"), F.posexplode(T.chunked(F.coalesce("text", F.lit("")), CHUNK)).alias("seq", "chunk"), F.length("text").alias("n"))
     rows = rows.select("stream_id", "seq", "chunk", (F.coalesce(F.col("n"), F.lit(0)) <= (F.col("seq") + 1) * CHUNK).alias("last"))
-    rows.write.parquet(f"{folder}/chunks")
-    stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/chunks")
+    # Texts go on from one micro-batch to the next: files come in the order they were written.
+    for part in (F.col("seq") < 2, F.col("seq").between(2, 5), F.col("seq") > 5):
+        rows.filter(part).write.mode("append").parquet(f"{folder}/chunks")
+    files = len(spark.read.parquet(f"{folder}/chunks").inputFiles())
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, -(-files // 3))).parquet(f"{folder}/chunks")
     sink = encode_stream(stream, m).writeStream.format("parquet").option("path", f"{folder}/ids").option("checkpointLocation", f"{folder}/state")
     sink.trigger(availableNow=True).start().awaitTermination()
     out = spark.read.parquet(f"{folder}/ids").groupBy("stream_id").agg(F.sum(F.size("ids")).cast("int").alias("n_tokens"), F.sum(F.aggregate("ids", F.lit(0).cast("long"), lambda a, i: a + i)).alias("id_sum"))
@@ -250,11 +278,15 @@ def linear(spark, sf_dir):
     return _long(_vectors(spark, sf_dir), X.map_vectors(lambda x: X.linear(x, w), F.col("x")))
 
 
+def _greatest(x: Column) -> Column:
+    return F.array_position(x, F.array_max(x)) - 1
+
+
 def embedding_lookup(spark, sf_dir):
-    """Rows of a weight table by id: an equi-join."""
+    """Rows of a weight table by id (the place of the vector's greatest component): an equi-join."""
     e = _w("e", 64, 8)
     table = spark.createDataFrame([(k, list(map(float, r))) for k, r in enumerate(e)], "id long, row array<double>")
-    ids = _vectors(spark, sf_dir).select("vec_id", (F.col("vec_id") % 64).alias("id"))
+    ids = _vectors(spark, sf_dir).select("vec_id", _greatest(F.col("x")).alias("id"))
     return _long(ids.join(F.broadcast(table), "id"), F.col("row"))
 
 
@@ -321,7 +353,7 @@ def transformer_block(spark, sf_dir):
 
 def transformer_lm(spark, sf_dir):
     w = {"embedding": _w("e", 64, D), "layers": [_block_weights()] * 2, "ln_final": np.ones(D), "lm_head": _w("lm", 64, D)}
-    rows = _vectors(spark, sf_dir).withColumn("x", F.array((F.col("vec_id") % 64).cast("double")))
+    rows = _vectors(spark, sf_dir).withColumn("x", F.array(_greatest(F.col("x")).cast("double")))
     out = X.map_sequences(rows, lambda x: X.language_model(x[:, 0].astype(int), w, HEADS), "seq", "pos")
     return _long(out.withColumn("vec_id", F.col("seq") * 10 + F.col("pos")), F.col("y"))
 
@@ -378,7 +410,7 @@ def duration_format(spark, sf_dir):
 def queries() -> dict[str, Query]:
     own = [
         pretoken_counts, pretoken_totals, pretoken_spans, special_split, special_segments, byte_counts, initial_pair_counts, pair_postings,
-        bpe_merges, bpe_vocab, encode_tokens, encode_with_specials, doc_token_counts, token_frequency, decode_roundtrip, decode_invalid_utf8,
+        pair_posting_lists, bpe_merges, bpe_merges_distributed, bpe_vocab, encode_tokens, encode_with_specials, doc_token_counts, token_frequency, decode_roundtrip, decode_invalid_utf8,
         token_stream_stats, token_stream_sha256, compression_ratio, cross_corpus_compression, longest_tokens, doc_sample, chunk_boundaries, text_chunks,
         bytes_repr, vocab_json, merges_text, manifest, streaming_encode, linear, embedding_lookup, rope, rmsnorm, sigmoid_silu, swiglu, softmax,
         sdpa_masked, causal_mha, mha_rope, transformer_block, transformer_lm, get_batch, cross_entropy, grad_clip, adamw_steps, lr_schedule,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,46 +13,73 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 HELD = 2
 
 
-def flush(encoder, buffer: str) -> tuple[list[int], str]:
-    """ids of the prefix that no further chunk can change, and the rest.
+def prefix(encoder, buffer: str, end: int) -> list[int]:
+    """ids of the first ``end`` characters; an error if that parts a pretoken or a special token."""
+    size, taken = 0, []
+    for part in encoder.split(buffer):
+        if size >= end:
+            break
+        size += len(part["text"])
+        taken.append(part)
+    if size != end:
+        raise ValueError(f"a prefix of {end} characters ends within a token")
+    return encoder.parts(taken)
+
+
+def safe_end(encoder, buffer: str) -> int:
+    """How many characters no further chunk can change.
 
     Kept back: the last part, and as many characters as a special token may
     still need to be recognised.
     """
     keep = max([HELD, *(len(s) - 1 for s in encoder.specials)])
     parts = encoder.split(buffer)
-    size = len(buffer)
     rest = 0
     while parts and (rest < keep or not rest):
         rest += len(parts.pop()["text"])
-    return encoder.parts(parts), buffer[size - rest :] if rest else ""
+    return len(buffer) - rest
+
+
+def flush(encoder, buffer: str) -> tuple[list[int], str]:
+    """ids of the prefix that no further chunk can change, and the rest."""
+    end = safe_end(encoder, buffer)
+    return prefix(encoder, buffer, end), buffer[end:]
 
 
 def encode_stream(chunks: DataFrame, model) -> DataFrame:
     """(stream_id, batch, ids) of a stream of (stream_id, seq, chunk, last).
 
-    Chunks of a stream come in order across micro-batches; within one they are
-    sorted by seq.  The row with ``last`` ends a stream and flushes its state.
+    A stream is one text, its chunks numbered from 0.  A chunk that comes early
+    waits in the state for those before it, one that came already is left out, and
+    one after ``last`` is an error.  The row with ``last`` ends the stream: it
+    flushes and drops its state.
     """
     shared = chunks.sparkSession.sparkContext.broadcast(model.encoder())
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values("seq")
-        rest, number = state.get if state.exists else ("", 0)
+        rest, number, expected, early = state.get if state.exists else ("", 0, 0, "{}")
+        waiting = {int(seq): tuple(x) for seq, x in json.loads(early).items()}
+        for frame in frames:
+            for seq, chunk, last in zip(frame["seq"].tolist(), frame["chunk"], frame["last"].tolist(), strict=True):
+                if seq >= expected:
+                    waiting[seq] = (chunk or "", bool(last))
         out: list[int] = []
-        for chunk, last in zip(rows["chunk"], rows["last"], strict=True):
-            done, rest = flush(shared.value, rest + (chunk or ""))
+        ended = False
+        while not ended and expected in waiting:
+            chunk, ended = waiting.pop(expected)
+            expected += 1
+            done, rest = flush(shared.value, rest + chunk)
             out += done
-            if last:
-                out += shared.value.text(rest)
-                rest = ""
-        if rows["last"].any():
+        if ended:
+            if waiting:
+                raise ValueError(f"stream {key[0]} goes on after its last chunk")
+            out += shared.value.text(rest)
             if state.exists:
                 state.remove()
         else:
-            state.update((rest, number + 1))
+            state.update((rest, number + 1, expected, json.dumps(waiting)))
         yield pd.DataFrame({"stream_id": [key[0]], "batch": [number], "ids": [out]})
 
     return chunks.groupBy("stream_id").applyInPandasWithState(
-        step, "stream_id long, batch int, ids array<int>", "rest string, number int", "append", GroupStateTimeout.NoTimeout
+        step, "stream_id long, batch int, ids array<int>", "rest string, number int, expected int, early string", "append", GroupStateTimeout.NoTimeout
     )

@@ -5,11 +5,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corpusloom import train_bpe, train_bpe_distributed
+from corpusloom import BpeModel, train_bpe, train_bpe_distributed
 from corpusloom.functions import text as T
-from corpusloom.operators.bpe import independent, merge_loop
+from corpusloom.operators.bpe import independent, joined, merge_loop
 from corpusloom.sources import artifacts
-from corpusloom.streaming.encode import flush
+from corpusloom.streaming.encode import encode_stream, flush, prefix
 
 TEXTS = ["low low low lower lowest newest newest widest", "we're  here,\n\n and it's 42!  ", "", None, "naïve café 中文 😀 \t x"]
 
@@ -50,9 +50,97 @@ def test_ties_go_to_the_greater_pair():
     assert merge_loop([(b"ab", 3), (b"cd", 3)], 1, 256)[0][:2] == (b"c", b"d")
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.text("abc", min_size=1, max_size=14), st.integers(1, 6)), max_size=10), st.integers(2, 9))
+def test_rounds_of_independent_merges_equal_recounting(words, ranked):
+    """The distributed rounds in plain Python: the pairs of a round are counted once, its merges made one after the other."""
+    held, found = [([f"{ord(c):02x}" for c in w], n) for w, n in words], []
+    while len(found) < 12:
+        counts = {}
+        for t, n in held:
+            for p in zip(t, t[1:]):
+                counts[p] = counts.get(p, 0) + n
+        top = sorted(((n, *p) for p, n in counts.items()), reverse=True)[: ranked + 1]
+        if not top:
+            break
+        for n, left, right in independent(top[:ranked], len(top) <= ranked):
+            held = [(joined(t, left, right, left + right), c) for t, c in held]
+            found.append((bytes.fromhex(left), bytes.fromhex(right), n))
+    assert found[:12] == naive_merges([(w.encode(), n) for w, n in words], 12)
+
+
 def test_distributed_training_equals_local(spark):
-    docs = frame(spark)
-    assert train_bpe_distributed(docs, 300).merges == train_bpe(docs, 300).merges
+    docs = frame(spark, [*TEXTS, *["aaaa"] * 10, *["cd"] * 5, "aaaaaaaa abab"])
+    local = train_bpe(docs, 300)
+    for model in (train_bpe_distributed(docs, 300, ranked=20, cut_every=2), train_bpe(docs, 300, max_local_bytes=0)):
+        assert (model.merges, model.counts) == (local.merges, local.counts)
+
+
+def plain_encode(model, text):
+    """Ids by trying the merges one after the other on every pretoken."""
+    import regex
+
+    out = []
+    for p in regex.findall(T.PATTERN, text):
+        parts = [bytes([b]) for b in p.encode()]
+        for a, b in model.merges:
+            parts = joined(parts, a, b, a + b)
+        out += [model.ids[x] for x in parts]
+    return out
+
+
+MIXED = "we're  here — 中文 naïve 😀\r\nrow\x85two\u2003three it'll\n\n be 12²³ \x1c x  " + "aaaa" * 20 + " " * 50 + "low lower"
+
+
+@pytest.mark.parametrize("stretch", [1 << 17, 9])
+def test_encoders_equal_the_merges_in_order(spark, monkeypatch, stretch):
+    from corpusloom.operators import bpe
+
+    monkeypatch.setattr(bpe, "STRETCH", stretch)
+    model = train_bpe(frame(spark, [MIXED] * 3), 320)
+    enc = model.encoder()
+    assert enc.regular and enc.text(MIXED) == plain_encode(model, MIXED)
+    enc.regular = False
+    assert enc.text(MIXED) == plain_encode(model, MIXED)
+    enc.regular = True
+
+
+def test_irregular_vocabularies(spark):
+    """Tokens that two merges make, that no text reaches, or whose ids are not in the order of merges."""
+    base = {k: bytes([k]) for k in range(256)}
+    unreached = BpeModel(base | {256: b"ab", 257: b"bc", 258: b"abc"}, [(b"a", b"b"), (b"b", b"c"), (b"a", b"bc")])
+    assert not unreached.encoder().regular and unreached.encoder().text("abc bc") == [256, 99, 32, 257]
+    twice = BpeModel(base | {256: b"ab", 257: b"bc", 258: b"abc", 259: b"abc"}, [(b"b", b"c"), (b"a", b"b"), (b"a", b"bc"), (b"ab", b"c")])
+    assert not twice.encoder().regular and twice.encoder().text("abc") == [259]
+    turned = BpeModel(base | {256: b"cd", 257: b"ab"}, [(b"a", b"b"), (b"c", b"d")])
+    assert not turned.encoder().regular and turned.encoder().text("abcd") == [257, 256]
+    shifted = BpeModel({k + 5: bytes([k]) for k in range(256)} | {300: b"ab", 301: b"abc"}, [(b"a", b"b"), (b"ab", b"c")], ["<s>"])
+    assert shifted.encoder().regular and shifted.encoder().text("abc<s>ab") == [301, 302, 300]
+
+
+def test_columns_of_ids(spark):
+    import numpy as np
+
+    model = train_bpe(frame(spark), 300, ("<|end|>",))
+    texts = [*TEXTS, MIXED, "<|end|>", "x<|end|>", "low " * 40_000]
+    rows = frame(spark, texts).repartition(3)
+    got = {r.doc_id: r for r in rows.select("doc_id", model.encode_column(spark, F.col("text")).alias("ids"), model.packed_column(spark, F.col("text")).alias("raw"), model.summary_column(spark, F.col("text")).alias("t")).collect()}
+    for k, t in enumerate(texts):
+        if t is None:
+            assert got[k].ids is None and got[k].raw is None and got[k].t is None
+            continue
+        want = model.encoder().text(t)
+        assert got[k].ids == want and np.frombuffer(got[k].raw, "<u2").tolist() == want
+        assert tuple(got[k].t) == (len(want), min(want, default=None), max(want, default=None), sum(want))
+    big = BpeModel({k + 65_400: bytes([k]) for k in range(256)}, [])
+    with pytest.raises(Exception, match="beyond uint16"):
+        frame(spark, ["\x7fz", "é"]).select(big.packed_column(spark, F.col("text"))).collect()
+
+
+def test_running_sums(spark):
+    rows = spark.createDataFrame([(0, [3, 0, 2]), (1, []), (2, None), (3, [5])], "k int, s array<int>")
+    got = {r.k: r.p and [tuple(x) for x in r.p] for r in rows.repartition(1).select("k", T.running_sums(F.col("s")).alias("p")).collect()}
+    assert got == {0: [(0, 3), (3, 3), (3, 5)], 1: [], 2: None, 3: [(0, 5)]}
 
 
 def test_independent_stops_at_a_shared_symbol():
@@ -78,16 +166,61 @@ def test_round_trip(spark):
 
 
 def test_pretokens_tile_and_split(spark):
-    got = frame(spark, ["Hello, how are you?\n\n"]).select(T.pretokens(F.col("text")).alias("p")).first().p
-    assert got == ["Hello", ",", " how", " are", " you", "?", "\n\n"]
+    text = "Isn't 3km far?!  Yes,\t\tso it's"
+    got = frame(spark, [text]).select(T.pretokens(F.col("text")).alias("p")).first().p
+    assert got == ["Isn", "'t", " 3", "km", " far", "?!", " ", " Yes", ",", "\t", "\t", "so", " it", "'s"] and "".join(got) == text
 
 
-@pytest.mark.parametrize("size", [1, 2, 7, 4096])
+@pytest.mark.parametrize("size", [1, 3, 11, 500])
 def test_chunks_equal_whole(spark, size):
     m = train_bpe(frame(spark), 300, ("<|end|>",))
-    text = "we're  here <|end|> it'll\n\n be 12 <|end|>" * 3
+    text = "they've  gone <|end|> she'd\n\n be 77 <|end|>" * 3
     enc = m.encoder()
     assert list(enc.iterate(text[k : k + size] for k in range(0, len(text), size))) == enc.text(text)
+    sunk = []
+    assert enc.write((text[k : k + size] for k in range(0, len(text), size)), sunk.append, 32) == len(enc.text(text))
+    assert b"".join(sunk) == enc.packed(text) and all(len(x) >= 32 for x in sunk[:-1])
+
+
+def test_a_prefix_ends_between_tokens(spark):
+    enc = train_bpe(frame(spark, ["a"]), 256).encoder()
+    assert bytes(prefix(enc, "low lower", 3)) == b"low" and prefix(enc, "low", 0) == []
+    for end in (2, 5, 10):
+        with pytest.raises(ValueError):
+            prefix(enc, "low lower", end)
+
+
+def stream(spark, folder, model, batches):
+    """The ids of each stream after all micro-batches."""
+    for k, rows in enumerate(batches):
+        frame = spark.createDataFrame(rows, "stream_id long, seq int, chunk string, last boolean")
+        frame.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    source = spark.readStream.schema("stream_id long, seq int, chunk string, last boolean").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    sink = encode_stream(source, model).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    out = {}
+    for r in spark.read.parquet(f"{folder}/out").orderBy("stream_id", "batch").collect():
+        out.setdefault(r.stream_id, []).append(r.ids)
+    return out
+
+
+def test_streams_over_micro_batches(spark, tmp_path):
+    m = train_bpe(frame(spark), 300, ("<|end|>",))
+    one, two = "they've gone <|end|> lower still", "newest widest"
+    cut = [one[k : k + 5] for k in range(0, len(one), 5)]
+    rows = [(1, k, x, k == len(cut) - 1) for k, x in enumerate(cut)]
+    # Chunks that come early, twice and in another order; a stream that begins later; one that is empty.
+    batches = [[rows[2], rows[0]], [rows[1], rows[0], (2, 0, two[:4], False)], [*reversed(rows[3:]), (3, 0, None, True)], [(2, 1, two[4:], True)]]
+    got = stream(spark, str(tmp_path), m, batches)
+    enc = m.encoder()
+    assert {k: sum(v, []) for k, v in got.items()} == {1: enc.text(one), 2: enc.text(two), 3: []}
+    assert len(got[1]) == 3 and len(got[2]) == 2
+
+
+def test_a_stream_ends_with_its_last_chunk(spark, tmp_path):
+    m = train_bpe(frame(spark), 260)
+    with pytest.raises(Exception, match="goes on after its last chunk"):
+        stream(spark, str(tmp_path), m, [[(1, 0, "low", True), (1, 1, "er", False)]])
 
 
 def test_flush_keeps_a_growing_contraction(spark):
