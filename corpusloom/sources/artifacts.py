@@ -2,21 +2,36 @@
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import json
 import os
-from collections.abc import Iterable, Sequence
+import re
+import shutil
+import time
+import uuid
+from collections.abc import Iterable, Iterator, Sequence
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bytes import bytes_literal, from_printable, parse_bytes_literal
 from ..operators.bpe import UINT16_MAX, BpeModel
+from .readers import open_store
 
 FORMAT = "corpusloom-vocabulary-1"
 
 
+def utc_now() -> str:
+    """The time in UTC as ISO 8601, ``Z`` at the end."""
+    return datetime.datetime.now(datetime.timezone.utc).isoformat().replace("+00:00", "Z")
+
+
 def default_output_dir(path: str, vocab_size: int) -> Path:
     """``<stem>_bpe_<vocab_size>`` beside the input."""
     p = Path(path)
@@ -137,61 +152,147 @@ def checked_uint16(ids: DataFrame, column: str = "ids") -> DataFrame:
     return ids.withColumn(column, F.when(bad, F.raise_error(F.lit("token id beyond uint16"))).otherwise(F.col(column)))
 
 
-def payload_hex(ids):
-    """Little-endian uint16 bytes of an id array, as hex."""
-    two = F.transform(ids, lambda i: F.lower(F.concat(F.lpad(F.hex(i.cast("int") % 256), 2, "0"), F.lpad(F.hex(F.floor(i / 256).cast("int")), 2, "0"))))
-    return F.array_join(two, "")
-
+def part_files(encoded: DataFrame, folder: str, order: str | None = "doc_id", ids: str = "ids") -> DataFrame:
+    """Write each partition's ids as one npy file below ``folder``; (part, file, n, low, high, sha256) of the files.
 
-def export_npy(encoded: DataFrame, path: str | Path, order: str = "doc_id", ids: str = "ids", split: str = "corpus", n_bytes: int | None = None, force: bool = False) -> dict:
+    With ``order`` the rows are sorted across partitions, so that the files in the
+    order of ``part`` are the whole stream.  A file is moved into place when it is
+    complete, and a repeated task writes it again under the same name.
+    """
+    rows = encoded.repartitionByRange(order).sortWithinPartitions(order) if order else encoded
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = open_store(folder)
+        store.create_dir(root, recursive=True)
+        part = TaskContext.get().partitionId()
+        name, draft = f"part-{part:05d}.npy", f"{root}/.part-{part:05d}.{uuid.uuid4().hex}"
+        n, low, high, digest = 0, None, None, hashlib.sha256()
+        with store.open_output_stream(draft + ".raw", compression=None) as f:
+            for batch in batches:
+                values = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+                if not len(values):
+                    continue
+                if values.min() < 0 or values.max() > UINT16_MAX:
+                    raise ValueError("token id beyond uint16")
+                low, high = min(int(values.min()), UINT16_MAX if low is None else low), max(int(values.max()), high or 0)
+                raw = values.astype("<u2").tobytes()
+                f.write(raw)
+                digest.update(raw)
+                n += len(values)
+        with store.open_output_stream(draft, compression=None) as out, store.open_input_stream(draft + ".raw", compression=None) as f:
+            out.write(npy_header(n))
+            while block := f.read(1 << 20):
+                out.write(block)
+        store.delete_file(draft + ".raw")
+        store.move(draft, f"{root}/{name}")
+        columns = [[part], [name], [n], [low], [high], [digest.hexdigest()]]
+        kinds = [pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["part", "file", "n", "low", "high", "sha256"])
+
+    return rows.select(ids).mapInArrow(write, "part int, file string, n long, low int, high int, sha256 string")
+
+
+def clean_stale(path: Path) -> None:
+    """Drop what an export that broke off has left beside its target."""
+    shutil.rmtree(path.with_name(f".{path.name}.parts"), ignore_errors=True)
+    for stale in (path.with_name(f".{path.name}.part"), path.with_suffix(".json").with_name(f".{path.stem}.json.part")):
+        stale.unlink(missing_ok=True)
+
+
+def export_npy(encoded: DataFrame, path: str | Path, order: str = "doc_id", ids: str = "ids", split: str = "corpus", n_bytes: int | None = None, force: bool = False, extra: dict | None = None) -> dict:
     """Write the token stream, ordered, as one npy file with a sidecar; skips when both exist and not forced.
 
-    Partitions come one at a time, so that the driver holds one of them.
+    Tasks write the parts; the driver only strings their bytes together, a block
+    at a time.  (``part_files`` alone leaves the parts, for streams of any size.)
     """
-    path = Path(path)
+    path = Path(path).absolute()
     side = path.with_suffix(".json")
     if path.exists() and side.exists() and not force:
         return json.loads(side.read_text())
-    import numpy as np
-
+    clean_stale(path)
+    if force:
+        path.unlink(missing_ok=True)
+        side.unlink(missing_ok=True)
+    began = time.perf_counter()
     path.parent.mkdir(parents=True, exist_ok=True)
-    raw, digest, count, low, high = path.with_name(f".{path.name}.raw"), hashlib.sha256(), 0, None, None
-    with raw.open("wb") as f:
-        for row in checked_uint16(encoded, ids).orderBy(order).select(ids).toLocalIterator():
-            a = np.array(row[0], "<u2")
-            if len(a):
-                low, high = min(low if low is not None else 65535, int(a.min())), max(high or 0, int(a.max()))
-            f.write(a.tobytes())
-            digest.update(a.tobytes())
-            count += len(a)
-    part = path.with_name(f".{path.name}.part")
-    with part.open("wb") as out, raw.open("rb") as f:
+    parts = path.with_name(f".{path.name}.parts")
+    made = sorted(part_files(encoded, str(parts), order, ids).collect())  # a row for each partition
+    count, digest, draft = sum(r.n for r in made), hashlib.sha256(), path.with_name(f".{path.name}.part")
+    with draft.open("wb") as out:
         out.write(npy_header(count))
-        while block := f.read(1 << 20):
-            out.write(block)
-    raw.unlink()
-    os.replace(part, path)
-    facts = {"split_name": split, "token_count": count, "min_id": low or 0, "max_id": high or 0, "payload_sha256": digest.hexdigest(), "dtype": "<u2", "input_bytes": n_bytes, "bytes_per_token": n_bytes / count if n_bytes and count else None}
+        for r in made:
+            with (parts / r.file).open("rb") as f:
+                f.seek(len(npy_header(r.n)))
+                while block := f.read(1 << 20):
+                    out.write(block)
+                    digest.update(block)
+    os.replace(draft, path)
+    shutil.rmtree(parts)
+    took = time.perf_counter() - began
+    facts = {
+        "split_name": split, "created_utc": utc_now(), "token_count": count, "min_id": min((r.low for r in made if r.n), default=0), "max_id": max((r.high for r in made if r.n), default=0),
+        "payload_sha256": digest.hexdigest(), "dtype": "<u2", "shape": [count], "output_path": str(path), "input_bytes": n_bytes,
+        "bytes_per_token": n_bytes / count if n_bytes and count else None, "elapsed_seconds": took, "tokens_per_second": count / took, "input_bytes_per_second": n_bytes / took if n_bytes else None,
+    } | (extra or {})
     replace_file(side, json.dumps(facts, indent=2).encode(), True)
     return facts
 
 
-def read_npy(spark: SparkSession, path: str) -> DataFrame:
-    """(path, pos, token_id) of npy files of uint16."""
-    import numpy as np
-    import pyarrow as pa
+def export_ids_json(encoded: DataFrame, path: str | Path, order: str = "doc_id", ids: str = "ids", force: bool = False) -> int:
+    """Write the token stream, ordered, as one JSON array; partitions come one at a time.  The number of ids."""
+    path, n = Path(path), 0
+    if path.exists() and not force:
+        raise FileExistsError(path)
+    path.parent.mkdir(parents=True, exist_ok=True)
+    part = path.with_name(f".{path.name}.part")
+    with part.open("w") as f:
+        f.write("[")
+        for row in encoded.orderBy(order).select(ids).toLocalIterator():
+            if row[0]:
+                f.write(("," if n else "") + ",".join(map(str, row[0])))
+                n += len(row[0])
+        f.write("]\n")
+    os.replace(part, path)
+    return n
+
 
-    def read(batches):
-        import io
+#: Ids of a file that one row of the reading plan stands for.
+RANGE = 1 << 22
 
+
+def read_npy(spark: SparkSession, path: str) -> DataFrame:
+    """(path, pos, token_id) of an npy file of uint16, or of all below a folder; tasks read ranges of the files."""
+    store, root = open_store(path)
+    info = store.get_file_info(root)
+    files = [info] if info.type == fs.FileType.File else [x for x in store.get_file_info(fs.FileSelector(root)) if x.path.endswith(".npy")]
+    plan = [(x.path, start) for x in files for start in range(0, max(1, x.size // 2), RANGE)]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = open_store(path)
         for b in batches:
-            for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                a = np.load(io.BytesIO(content.as_py()), allow_pickle=False).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(a)), pa.array(np.arange(len(a))), pa.array(a)], ["path", "pos", "token_id"])
+            for name, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                with store.open_input_file(name) as f:
+                    n, head = npy_shape(f.read(128))
+                    f.seek(head + 2 * start)
+                    ids = np.frombuffer(f.read(2 * max(0, min(RANGE, n - start))), "<u2").astype(np.int32)
+                for lo in range(0, len(ids), 1 << 18):
+                    part = ids[lo : lo + (1 << 18)]
+                    at = np.arange(start + lo, start + lo + len(part))
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(at), pa.array(part)], ["path", "pos", "token_id"])
+
+    rows = spark.createDataFrame(plan, "path string, start long").repartition(max(1, len(plan)))
+    return rows.mapInArrow(read, "path string, pos bigint, token_id int")
+
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(read, "path string, pos bigint, token_id int")
+def npy_shape(head: bytes) -> tuple[int, int]:
+    """The number of ids and the header's size of an npy file of little-endian uint16."""
+    found = re.match(rb"\x93NUMPY\x01\x00(..)\{'descr': '<u2', 'fortran_order': False, 'shape': \((\d+),\), \}", head, re.DOTALL)
+    if not found:
+        raise ValueError("not a one-dimensional npy array of little-endian uint16")
+    return int(found[2]), 10 + int.from_bytes(found[1], "little")
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """All sidecars of a folder, by split name."""
-    return spark.read.option("multiLine", True).option("pathGlobFilter", "*.json").json(folder).orderBy("split_name")
+    """All sidecars below a folder, by split name."""
+    rows = spark.read.option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(folder)
+    return rows.filter("split_name is not null").orderBy("split_name")
