@@ -84,15 +84,18 @@ class Symbols:
         self.weight = np.repeat(weights.astype(np.int64), lengths)
         self.counts: dict[int, int] = {}
         self.places: dict[int, list[np.ndarray]] = {}
-        self.add(np.flatnonzero(self.next >= 0).astype(np.int32))
+        self.add(np.flatnonzero(self.next >= 0).astype(np.int32), True)
 
     def keys(self, at: np.ndarray) -> np.ndarray:
         return self.token[at].astype(np.int64) << 32 | self.token[self.next[at]]
 
-    def add(self, at: np.ndarray) -> list[int]:
+    def add(self, at: np.ndarray, pairs_of_bytes: bool = False) -> list[int]:
         """Count and list the pairs that begin at these places; their keys."""
         keys = self.keys(at)
-        order = np.argsort(keys, kind="stable")
+        if pairs_of_bytes:  # they sort by radix
+            order = np.argsort(((keys >> 32) << 8 | keys & 255).astype(np.uint16), kind="stable")
+        else:
+            order = np.argsort(keys, kind="stable")
         keys, at = keys[order], at[order]
         first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
         sums = np.add.reduceat(self.weight[at], first).tolist() if len(first) else []
@@ -223,7 +226,8 @@ class BpeModel:
         def run(texts: pa.Array) -> pa.Array:
             return make(shared.value, texts)
 
-        return run(text.cast("string"))
+        # Evaluated where it stands: an explode would infer a filter that runs it once more.
+        return run.asNondeterministic()(text.cast("string"))
 
     def encode_column(self, spark: SparkSession, text: Column) -> Column:
         """ids of a text column; no shuffle."""
@@ -335,77 +339,75 @@ class Encoder:
             self.memo[pretoken] = found
         return found
 
-    def _prepare(self) -> None:
-        """The merger of a regular vocabulary, whose numbers are ranks, and the ids of its numbers."""
-        import tiktoken
+    def merger(self) -> Callable[[str], list[int]]:
+        """Of a regular vocabulary: ids of a text of at most STRETCH characters.
+
+        Ids serve as ranks; only their order among the merges matters.
+        """
+        if self._merger is None:
+            import tiktoken
 
-        tokens = [*(bytes([b]) for b in range(256)), *(a + b for a, b in self.rank)]
-        self._ids = np.array([self.ids[raw] for raw in tokens], np.int32)
-        self._merger = tiktoken.Encoding(name="bpe", pat_str=T.PATTERN, mergeable_ranks={raw: k for k, raw in enumerate(tokens)}, special_tokens={}).encode_ordinary
+            ranks = {raw: self.ids[raw] for raw in [*(bytes([b]) for b in range(256)), *(a + b for a, b in self.rank)]}
+            self._merger = tiktoken.Encoding(name="bpe", pat_str=T.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return self._merger
 
-    def plain(self, text: str) -> np.ndarray:
+    def plain(self, text: str) -> list[int]:
         """ids of a text without special tokens."""
         if not self.regular:
-            return np.array(self._words(text), np.int32)
-        if self._merger is None:
-            self._prepare()
-        out = []
-        for part in T.stretches(text, STRETCH):
-            if len(part) > STRETCH:
-                out.append(np.array(self._words(part), np.int32))
-            else:
-                out.append(self._ids[np.frombuffer(array("I", self._merger(part)), np.uint32)])
-        return np.concatenate(out) if len(out) > 1 else out[0] if out else np.zeros(0, np.int32)
+            return self._words(text)
+        merger = self.merger()
+        if len(text) <= STRETCH:
+            return merger(text)
+        return [k for part in T.stretches(text, STRETCH) for k in (merger(part) if len(part) <= STRETCH else self._words(part))]
 
     def _words(self, text: str) -> list[int]:
         return [k for p in self.pretokens.findall(text) for k in self.word(p)]
 
-    def parts(self, found) -> list[int]:
-        """ids of (text, special) parts in order."""
-        out: list[int] = []
-        for p in found:
-            if p["special"]:
-                out.append(self.special_ids[p["text"]])
-            else:
-                out += self.word(p["text"])
-        return out
-
-    def split(self, text: str) -> list[dict]:
+    def split(self, text: str) -> list[tuple[str, bool]]:
         """(text, special) parts of a text, as the JVM expression gives them."""
-        out = []
+        out: list[tuple[str, bool]] = []
         for k, piece in enumerate(self.cut.split(text) if self.cut else [text]):
-            if k % 2:
-                out.append({"text": piece, "special": True})
+            out += [(piece, True)] if k % 2 else [(p, False) for p in self.pretokens.findall(piece)]
+        return out
+
+    def parts(self, found: Sequence[tuple[str, bool]]) -> list[int]:
+        """ids of (text, special) parts in order."""
+        out: list[int] = []
+        for text, special in found:
+            if special:
+                out.append(self.special_ids[text])
             else:
-                out += [{"text": p, "special": False} for p in self.pretokens.findall(piece)]
+                out += self.memo.get(text) or self.word(text)
         return out
 
-    def array(self, text: str) -> np.ndarray:
+    def text(self, text: str) -> list[int]:
         """ids of a text."""
         if self.cut is None or not any(s in text for s in self.specials):
             return self.plain(text)
-        out = []
+        out: list[int] = []
         for k, piece in enumerate(self.cut.split(text)):
-            out.append(np.array([self.special_ids[piece]], np.int32) if k % 2 else self.plain(piece))
-        return np.concatenate(out)
-
-    def text(self, text: str) -> list[int]:
-        return self.array(text).tolist()
+            if k % 2:
+                out.append(self.special_ids[piece])
+            elif piece:
+                out += self.plain(piece)
+        return out
 
     # --- Arrow columns of texts ---
     def _flat(self, texts: pa.Array) -> Iterator[np.ndarray | None]:
         for t in texts:
-            yield self.array(t.as_py()) if t.is_valid else None
+            yield np.frombuffer(array("i", self.text(t.as_py())), np.int32) if t.is_valid else None
 
     def arrow_ids(self, texts: pa.Array) -> pa.Array:
-        rows = list(self._flat(texts))
-        sizes = np.array([0 if r is None else len(r) for r in rows], np.int64)
-        ends = np.concatenate(([0], np.cumsum(sizes)))
+        values, ends, missing = array("i"), [0], []
+        for t in texts.to_pylist():
+            if t:
+                values.extend(self.text(t))
+            ends.append(len(values))
+            missing.append(t is None)
         if ends[-1] >= 1 << 31:
             raise ValueError("a batch of texts has more ids than an array of lists holds: make Arrow batches smaller")
-        values = pa.array(np.concatenate([r for r in rows if r is not None]) if ends[-1] else np.zeros(0, np.int32))
-        missing = np.array([r is None for r in rows], bool)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array(missing) if missing.any() else None)
+        flat = pa.array(np.frombuffer(values, np.int32) if values else np.zeros(0, np.int32))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=pa.array(missing) if any(missing) else None)
 
     def arrow_packed(self, texts: pa.Array) -> pa.Array:
         return pa.array([None if r is None else packed_ids(r) for r in self._flat(texts)], pa.binary())
@@ -416,7 +418,7 @@ class Encoder:
         return pa.array([None if r is None else dict(zip(("n", "low", "high", "total"), r, strict=True)) for r in rows], pa.struct(kinds))
 
     def packed(self, text: str) -> bytes:
-        return packed_ids(self.array(text))
+        return packed_ids(np.array(self.text(text), np.int32))
 
     def write(self, chunks: Iterator[str], sink: Callable[[bytes], object], size: int = 1 << 20) -> int:
         """Hand the packed ids of a text that comes in chunks to ``sink``, ``size`` bytes or more at a time; their number."""
@@ -430,8 +432,8 @@ class Encoder:
             if len(held) >= size:
                 sink(bytes(held))
                 held.clear()
-        last = self.array(rest)
-        held += packed_ids(last)
+        last = self.text(rest)
+        held += packed_ids(np.array(last, np.int32))
         if held:
             sink(bytes(held))
         return n + len(last)

@@ -16,7 +16,7 @@ from ..functions.bytes import bytes_literal
 from ..operators import training
 from ..operators.bpe import BpeModel, pretoken_counts as count_pretokens, train_bpe, train_bpe_distributed
 from ..sources import artifacts
-from ..sources.shared import shared_dir
+from ..sources.shared import shared_dir, spread, stamp
 from ..streaming.encode import encode_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,12 +26,20 @@ CHUNK = 1000
 D, HEADS, FF = 64, 4, 128
 
 
+#: Models by the files they were trained on; trained once for all queries of a session.
+_MODELS: dict[tuple, BpeModel] = {}
+
+
 def _docs(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(rows) if table in ("documents", "pages", "conversations") else rows
 
 
 def _train(spark: SparkSession, sf_dir: str, specials: tuple[str, ...] = ()) -> BpeModel:
-    return train_bpe(_docs(spark, sf_dir), 256 + len(specials) + MERGES, specials)
+    key = (spark.sparkContext.applicationId, sf_dir, specials, stamp(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    if key not in _MODELS:
+        _MODELS[key] = train_bpe(_docs(spark, sf_dir), 256 + len(specials) + MERGES, specials)
+    return _MODELS[key]
 
 
 # --- pretokens and pairs ---
@@ -95,7 +103,7 @@ def _merge_rows(spark: SparkSession, m: BpeModel) -> DataFrame:
 
 
 def bpe_merges(spark, sf_dir):
-    return _merge_rows(spark, _train(spark, sf_dir))
+    return _merge_rows(spark, train_bpe(_docs(spark, sf_dir), 256 + MERGES))
 
 
 def bpe_merges_distributed(spark, sf_dir):

@@ -6,6 +6,7 @@ import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,3 +23,15 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs`` dealt to all cores where its files make fewer tasks than those; larger tables stay as they are read."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(2 * cores) if docs.rdd.getNumPartitions() < 2 * cores else docs
+
+
+def stamp(table: DataFrame) -> tuple:
+    """Changes when the files of a table do: a sum over their names, sizes and times."""
+    files = table.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    return tuple(files.agg(F.count("*"), F.sum(F.xxhash64(*files.columns) % (1 << 40))).first())

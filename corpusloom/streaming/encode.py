@@ -19,15 +19,15 @@ def prefix(encoder, buffer: str, end: int) -> list[int]:
     for part in encoder.split(buffer):
         if size >= end:
             break
-        size += len(part["text"])
+        size += len(part[0])
         taken.append(part)
     if size != end:
         raise ValueError(f"a prefix of {end} characters ends within a token")
     return encoder.parts(taken)
 
 
-def safe_end(encoder, buffer: str) -> int:
-    """How many characters no further chunk can change.
+def flush(encoder, buffer: str) -> tuple[list[int], str]:
+    """ids of the prefix that no further chunk can change, and the rest.
 
     Kept back: the last part, and as many characters as a special token may
     still need to be recognised.
@@ -36,14 +36,8 @@ def safe_end(encoder, buffer: str) -> int:
     parts = encoder.split(buffer)
     rest = 0
     while parts and (rest < keep or not rest):
-        rest += len(parts.pop()["text"])
-    return len(buffer) - rest
-
-
-def flush(encoder, buffer: str) -> tuple[list[int], str]:
-    """ids of the prefix that no further chunk can change, and the rest."""
-    end = safe_end(encoder, buffer)
-    return prefix(encoder, buffer, end), buffer[end:]
+        rest += len(parts.pop()[0])
+    return encoder.parts(parts), buffer[len(buffer) - rest :]
 
 
 def encode_stream(chunks: DataFrame, model) -> DataFrame:
