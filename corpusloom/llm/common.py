@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir, spread
+
 #: The most frequent keys that a skew-safe lookup resolves by broadcast.  After
 #: they are taken out, no key holds more than 1/HOT_KEYS of the rows.
 HOT_KEYS = 1000
@@ -24,10 +25,8 @@ BROADCAST_ROWS = 400_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's checkpoint folder; set one only where none is named."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-"))
+    """Use the cluster's checkpoint folder; set one only where none is named and all runs in one process."""
+    shared_dir(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -37,15 +36,22 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Have executors drop the files of shuffles and checkpoints that nothing refers to any more.
+    """Have Spark drop the files of shuffles that nothing refers to any more, and of checkpoints too.
 
     Spark does so after a collection of the driver's heap, which may be half an
     hour away; long chains of jobs would hold all their shuffles until then.
+    Checkpoints go only in sessions with spark.cleaner.referenceTracking.cleanCheckpoints.
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def trim() -> None:
     """Give a Python worker's freed memory back to the system.
 
@@ -118,4 +124,6 @@ def crc_mod(column: str, mod: int) -> Column:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; documents and pages in few files are dealt to all cores."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in ("documents", "pages") else rows

@@ -22,8 +22,9 @@ would write more than the corpus.
 
 Defined cases: null, empty and wordless texts have an empty set and link with
 nothing; fewer than five words are one shingle; a null doc_id is returned
-with a null component; rows that repeat a doc_id are one node; an empty table
-gives an empty result; other columns are ignored.
+with a null component; rows that repeat a doc_id are one node; a very long text
+has a prefix and a bitmap in proportion to its set; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, partitions, release, sized_join, skew_safe_lookup, trim
+from .common import cut, partitions, release, sized_join, skew_safe_lookup, trim
 from .components import components
 
 WIDTH = 5
@@ -46,7 +47,9 @@ BLOCK_BYTES = 8 << 20
 PREFIX_ROWS = 1_500_000
 TILE_ROWS = 2048
 NEAREST_ROUNDS = 2
-MIN_BITS, MAX_BITS, WIDE_BITS = 256, 4096, 1 << 20
+MIN_BITS, WIDE_BITS = 256, 1 << 20
+#: Hashes of a set up to which its bitmap has more bits than hashes.
+FULL = 2048
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 _SHIFT, _TRUE = np.uint64(31), np.array([True])
@@ -94,7 +97,13 @@ def band(n: int) -> int:
 
 
 def bits_of_band(k: int) -> int:
-    return int(min(MAX_BITS, max(MIN_BITS, 1 << int(np.ceil(np.log2(2 * (4 / 3) ** (k + 1)))))))
+    """At least MIN_BITS, and two to four for each hash of the band's largest set of up to FULL hashes.
+
+    Beyond that one to two, up to WIDE_BITS: two sets of n hashes that have nothing
+    in common then differ in 0.46 n bits or more, of which 2 n / 7 rule them out.
+    """
+    most = (4 / 3) ** (k + 1)
+    return int(min(WIDE_BITS, max(MIN_BITS, 1 << int(np.ceil(np.log2(2 * most if most <= FULL else most))))))
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
@@ -558,10 +567,7 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     full = found.filter("n > 0 and doc_id is not null").withColumn("digest", F.struct("d1", "d2"))
     classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m")).filter("m > 1")
     twins = cut(skew_safe_lookup(full.select("doc_id", "digest"), classes, "digest", "m").filter("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
-    n_twins = twins.count()
-    firsts = texts
-    if n_twins <= BROADCAST_ROWS:  # beyond that, equal sets simply meet in their buckets
-        firsts = texts.join(F.broadcast(twins.select(F.col("b").alias("doc_id"))), "doc_id", "left_anti")
+    firsts = sized_join(texts, twins.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_anti", twins.count())
 
     # Shared prefix shingles.
     total = found.agg(F.coalesce(F.sum(F.col("n") / 4 + 1), F.lit(0.0))).first()[0]
