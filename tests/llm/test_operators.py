@@ -119,6 +119,39 @@ def test_ngram_join(spark, monkeypatch, tile):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (3, 3), (3, 3)]
 
 
+def test_ngram_join_without_broadcasts(spark, monkeypatch):
+    """The way of tables whose lists of documents exceed BROADCAST_ROWS: all joins are shuffled."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(ngram_join, "FAN", 2)
+    monkeypatch.setattr(ngram_join, "PLACES", 3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = corpus()
+        assert sorted(map(tuple, ngram_join.ngram_join(frame(spark, rows)).collect())) == sorted(ngram_join.brute_force(rows))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_bitmaps_of_any_size_rule_out_disjoint_sets():
+    rng = np.random.default_rng(6)
+    for n in (10, 500, 2048, 2600, 14_300, 40_000, 300_000):
+        one, two = (np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for _ in range(2))
+        near = np.unique(np.concatenate((one[n // 20 :], two[: n // 20])))
+        bits = [ngram_join.bitmap(x).tobytes() for x in (one, two, near)]
+        assert ngram_join.share(len(one), bits[0], len(two), bits[1]) is None
+        assert ngram_join.share(len(one), bits[0], len(near), bits[2]) is not None and ngram_join.similar(one, near)
+
+
+def test_chunks_of_any_script_part_by_content(spark):
+    """A character put in front moves few chunks, whatever the script."""
+    rng = random.Random(2)
+    letters = ["абвгдежзийклмнопрстуфхцчшщыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", "אבגדהוזחטיכלמנסעפצקרשת", "".join(map(chr, range(0x4E00, 0x6E00, 7))), "".join(map(chr, range(0xAC00, 0xC800, 11))), "กขคงจชซญดตถทนบปผพฟมยรลวสหอ"]
+    for alphabet in letters:
+        text = "".join(rng.choices(alphabet, k=12_000))
+        one, two = (spark.createDataFrame([(t,)], "t string").select(exact_dedup.chunks(F.col("t"))).first()[0] for t in (text, alphabet[0] + text))
+        assert "".join(one) == text and len(set(one) & set(two)) >= 0.6 * len(one) > 4
+
+
 def test_shared_rows_across_batches():
     import pyarrow as pa
 
