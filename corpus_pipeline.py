@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import decontamination, line_dedup, ngram_join, packing, quality
-from corpusloom.llm.common import cut, ensure_checkpoint_dir, keyed, read_table, sized_join
+from corpusloom.llm.common import cut, drop_folder, ensure_checkpoint_dir, keyed, read_table, sized_join
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -74,11 +74,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; stages meet in the shared checkpoint folder."""
+    """All stages over ``documents``; stages meet in the shared checkpoint folder, where the last one's rows stay."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before is not None:  # the rows that this stage has read
+            drop_folder(spark, before)
+        before = f"{folder}/{name}"
     return docs
