@@ -312,6 +312,28 @@ def merged(column: str):
     return F.aggregate(F.array_sort(column), start, add)
 
 
+_WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS_SQL} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS_SQL} AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item, array_to_string(w[k:k + least({WINDOW}, len(w)) - 1], ' ') AS x, least({WINDOW}, len(w)) AS n
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - {WINDOW} + 2, 2))) AS k FROM b WHERE len(w) > 0)
+),
+sizes AS (SELECT DISTINCT n FROM win),
+occ AS (
+  SELECT r, n, k, array_to_string(w[k:k + n - 1], ' ') AS x
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, sizes WHERE len(w) >= n)
+),
+hits AS (SELECT occ.r, occ.k, occ.n, win.item FROM occ JOIN win ON occ.x = win.x AND occ.n = win.n),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM hits) GROUP BY r),
+items AS (SELECT r, list_sort(list(DISTINCT item)) AS i FROM hits WHERE item IS NOT NULL GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(i), 0)::BIGINT AS n_items,
+       sha256(coalesce(array_to_string(i, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
+"""
+
+
 def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[object, str | None]], size: int = WINDOW, slop: int = 0) -> list[tuple]:
     """The contract, straight from its words; for small tests."""
 

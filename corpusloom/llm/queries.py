@@ -43,7 +43,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
-    return decontamination.decontaminate(docs, benchmark)
+    return decontamination.decontaminate(docs, benchmark).drop("items", "spans")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,4 +59,10 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact_dedup.ORACLE_SQL, "op6_url_filter": url_filter.ORACLE_SQL}
+    return {
+        "op4_ngram_join": ngram_join.ORACLE_SQL,
+        "op5_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op6_url_filter": url_filter.ORACLE_SQL,
+        "op8_decontamination": decontamination.ORACLE_SQL,
+        "op10_warc": warc.ORACLE_SQL,
+    }

@@ -310,3 +310,17 @@ def read_files(spark: SparkSession, path: str, payloads: bool = True) -> DataFra
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, as read back from archives."""
     return read_records(archives(pages, min_bytes), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: base32 by groups of five hexadecimal digits, which are four characters.
+ORACLE_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS x, sha256(h) AS k FROM p),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY k) AS best,
+  list_transform(range(8), lambda i: list_reduce(list_transform(string_split(x[5 * i + 1:5 * i + 5], ''), lambda c: instr('0123456789abcdef', c) - 1), lambda a, c: 16 * a + c)) AS v FROM d)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+  array_to_string(list_transform(v, lambda n: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((n >> s) & 31)::INT + 1, 1)), '')), '') AS payload_digest,
+  CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> best THEN best END AS refers_to
+FROM g
+"""
