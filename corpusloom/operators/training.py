@@ -51,9 +51,8 @@ def cross_entropy(logits: Column, target: Column) -> Column:
 
 def clip_gradients(grads: DataFrame, max_norm: float, value: str = "g") -> DataFrame:
     """All gradients scaled by max_norm / (norm + 1e-6) if the global norm exceeds it; nulls stay."""
-    norm = grads.agg(F.sqrt(F.coalesce(F.sum(F.col(value) * F.col(value)), F.lit(0.0))).alias("_norm"))  # one row
-    scale = F.when(F.col("_norm") > max_norm, max_norm / (F.col("_norm") + 1e-6)).otherwise(1.0)
-    return grads.join(F.broadcast(norm)).withColumn(value, F.col(value) * scale).drop("_norm")
+    norm = grads.agg(F.sqrt(F.coalesce(F.sum(F.col(value) * F.col(value)), F.lit(0.0)))).first()[0]  # one number
+    return grads.withColumn(value, F.col(value) * (max_norm / (norm + 1e-6))) if norm > max_norm else grads
 
 
 def adamw_step(frame: DataFrame, t: int, lr: float = 1e-3, decay: float = 0.01, betas: tuple[float, float] = (0.9, 0.999), eps: float = 1e-8) -> DataFrame:

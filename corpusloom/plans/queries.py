@@ -35,9 +35,9 @@ def _docs(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFra
     return spread(rows) if table in ("documents", "pages", "conversations") else rows
 
 
-def _train(spark: SparkSession, sf_dir: str, specials: tuple[str, ...] = ()) -> BpeModel:
+def _train(spark: SparkSession, sf_dir: str, specials: tuple[str, ...] = (), again: bool = False) -> BpeModel:
     key = (spark.sparkContext.applicationId, sf_dir, specials, stamp(spark.read.parquet(f"{sf_dir}/documents.parquet")))
-    if key not in _MODELS:
+    if again or key not in _MODELS:
         _MODELS[key] = train_bpe(_docs(spark, sf_dir), 256 + len(specials) + MERGES, specials)
     return _MODELS[key]
 
@@ -103,7 +103,7 @@ def _merge_rows(spark: SparkSession, m: BpeModel) -> DataFrame:
 
 
 def bpe_merges(spark, sf_dir):
-    return _merge_rows(spark, train_bpe(_docs(spark, sf_dir), 256 + MERGES))
+    return _merge_rows(spark, _train(spark, sf_dir, again=True))
 
 
 def bpe_merges_distributed(spark, sf_dir):

@@ -92,12 +92,30 @@ def plain_encode(model, text):
 MIXED = "we're  here — 中文 naïve 😀\r\nrow\x85two\u2003three it'll\n\n be 12²³ \x1c x  " + "aaaa" * 20 + " " * 50 + "low lower"
 
 
+def test_published_example(spark):
+    """The vocabulary of Sennrich et al. (2016), ties to the greater pair."""
+    words = ["low"] * 5 + ["lower"] * 2 + ["widest"] * 3 + ["newest"] * 6
+    merges = [("s", "t"), ("e", "st"), ("o", "w"), ("l", "ow"), ("w", "est"), ("n", "e"), ("ne", "west"), ("w", "i"), ("wi", "d"), ("wid", "est"), ("low", "e"), ("lowe", "r")]
+    m = train_bpe(frame(spark, words), 256 + len(merges))
+    assert [(a.decode(), b.decode()) for a, b in m.merges] == merges and m.counts == [9, 9, 7, 7, 6, 6, 6, 3, 3, 3, 2, 2]
+    assert train_bpe(frame(spark, words), 1000).vocab == m.vocab  # no pair is left
+    assert train_bpe(frame(spark, []), 300, ("<s>",)).vocab == {**{k: bytes([k]) for k in range(256)}, 256: b"<s>"}
+
+
+def test_whole_files_and_delimited_ones(spark, tmp_path):
+    (tmp_path / "x.txt").write_bytes("a\r\nb é<|end|>\nc<|end|>".encode())
+    assert artifacts.read_documents(spark, str(tmp_path / "x.txt")).first().text == "a\r\nb é<|end|>\nc<|end|>"
+    assert [r.text for r in artifacts.read_documents(spark, str(tmp_path / "x.txt"), "<|end|>").collect()] == ["a\r\nb é", "\nc"]
+
+
+@pytest.mark.parametrize("size", [320, 400])
 @pytest.mark.parametrize("stretch", [1 << 17, 9])
-def test_encoders_equal_the_merges_in_order(spark, monkeypatch, stretch):
+def test_encoders_equal_the_merges_in_order(spark, monkeypatch, stretch, size):
     from corpusloom.operators import bpe
 
     monkeypatch.setattr(bpe, "STRETCH", stretch)
-    model = train_bpe(frame(spark, [MIXED] * 3), 320)
+    model = train_bpe(frame(spark, [MIXED] * 3), size)
+    assert train_bpe(frame(spark, [MIXED]), size).merges == model.merges
     enc = model.encoder()
     assert enc.regular and enc.text(MIXED) == plain_encode(model, MIXED)
     enc.regular = False
