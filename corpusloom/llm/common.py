@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,6 +67,17 @@ def trim() -> None:
         pass
 
 
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function of Arrow batches that begins and ends with ``trim``: what a task freed does not stay beside the next one's needs."""
+
+    def tidy(batches: Iterator) -> Iterator:
+        trim()
+        yield from run(batches)
+        trim()
+
+    return tidy
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

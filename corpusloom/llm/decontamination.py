@@ -1,7 +1,7 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 The index is partitioned by document, as search engines shard theirs: a
-*segment* holds the postings (term, position) of some megabytes of whole
+*segment* holds the postings (term, position) of about a megabyte of whole
 documents, written once to the shared checkpoint folder.  Terms no test item
 uses can take part in no match, so only test terms get postings.  A query is
 answered inside each segment: the terms of a window are ordered from the
@@ -33,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, trimmed
 
 WINDOW = 10
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 1 << 20
 BLOCK_BYTES = 16 << 20
 #: Candidate starts of a segment that are looked at together (a window with more is looked at alone).
 SLICE = 1 << 20
@@ -134,7 +134,7 @@ def build_index(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return cut(rows.mapInArrow(index, INDEX_SCHEMA))
+    return cut(rows.mapInArrow(trimmed(index), INDEX_SCHEMA))
 
 
 class Segment:
@@ -248,7 +248,7 @@ def find(index: DataFrame, windows: Windows, slop: int = 0) -> DataFrame:
                     ),
                 )
 
-    return index.mapInArrow(search, HIT_SCHEMA)
+    return index.mapInArrow(trimmed(search), HIT_SCHEMA)
 
 
 def test_blocks(benchmark: DataFrame, id_col: str = "item_id") -> Iterator[list[tuple[str | None, bytes]]]:

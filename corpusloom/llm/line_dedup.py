@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, fresh, keyed, partitions, skew_safe_lookup
+from .common import BROADCAST_ROWS, cut, fresh, keyed, partitions, skew_safe_lookup, trimmed
 
 MIN_BLOCK_WORDS = 8
 #: Scripts without spaces, and how many of their characters (marks included) count as a word.
@@ -255,7 +255,7 @@ def line_lists(docs: DataFrame) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id bigint, h array<bigint>, g array<bigint>, w array<int>, k array<bigint>"
-    return rows.filter("doc_id is not null and text is not null").mapInArrow(split, schema)
+    return rows.filter("doc_id is not null and text is not null").mapInArrow(trimmed(split), schema)
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +299,7 @@ def removals(docs: DataFrame) -> DataFrame:
     places = skew_safe_lookup(places, many, "doc_id", "n_places").groupBy("doc_id", part.alias("part")).agg(F.collect_list(F.struct("a", "sub", "b")).alias("places"))
     rows = lists.drop("k").join(places, "doc_id").select(F.explode("places").alias("p"), "h", "g", "w").select("p.a", "p.sub", "p.b", "h", "g", "w")
     rows = rows.repartition(partitions(rows.sparkSession), "a", "sub").sortWithinPartitions("a", "sub", F.asc_nulls_first("b"))
-    gone = rows.mapInArrow(_align, "doc_id bigint, gone array<int>")
+    gone = rows.mapInArrow(trimmed(_align), "doc_id bigint, gone array<int>")
     return gone.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, release, sized_join, skew_safe_lookup, trim
+from .common import cut, partitions, release, sized_join, skew_safe_lookup, trim, trimmed
 from .components import components
 
 WIDTH = 5
@@ -354,7 +354,7 @@ def bounded(pairs: DataFrame, bits: DataFrame) -> DataFrame:
     one = bits.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
     two = bits.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
     rows = pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
-    return rows.mapInArrow(_bound, BOUNDED)
+    return rows.mapInArrow(trimmed(_bound), BOUNDED)
 
 
 def confronted(pairs: DataFrame, texts: DataFrame, make, test) -> DataFrame:
@@ -375,7 +375,7 @@ def confronted(pairs: DataFrame, texts: DataFrame, make, test) -> DataFrame:
         return pairs.select("a", "b").filter("false")
     rows = sized_join(texts, places, "doc_id", "inner", n).select("text", "places").mapInArrow(_bodies(make), MOVED)
     rows = rows.repartition(partitions(rows.sparkSession), "a", "sub").sortWithinPartitions("a", "sub", F.asc_nulls_first("b"))
-    return rows.mapInArrow(_against(test), "a bigint, b bigint")
+    return rows.mapInArrow(trimmed(_against(test)), "a bigint, b bigint")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, screen: bool = False) -> DataFrame:
@@ -548,7 +548,7 @@ def cross_pairs(shared: DataFrame, bits: DataFrame, comps: DataFrame, nearest: b
     rows = rows.join(bits.select("doc_id", "bits"), "doc_id")
     tile = ["shingle", "band", "i", "j"]
     rows = rows.select(*tile, "doc_id", "n", "pos", "comp", "sub", "home", "bits")
-    return rows.repartition(partitions(rows.sparkSession), *tile).sortWithinPartitions(*tile).mapInArrow(_nearest if nearest else _tiles, "a bigint, b bigint, shingle bigint").distinct()
+    return rows.repartition(partitions(rows.sparkSession), *tile).sortWithinPartitions(*tile).mapInArrow(trimmed(_nearest if nearest else _tiles), "a bigint, b bigint, shingle bigint").distinct()
 
 
 def ngram_join(docs: DataFrame) -> DataFrame:
@@ -573,12 +573,12 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     total = found.agg(F.coalesce(F.sum(F.col("n") / 4 + 1), F.lit(0.0))).first()[0]
     parts = max(partitions(spark), int(total / PREFIX_ROWS) + 1)
     prefixes = firsts.mapInArrow(_prefixes(hot_cast), "shingle bigint, doc_id bigint, n int, pos int")
-    shared = cut(prefixes.repartition(parts, "shingle").sortWithinPartitions("shingle", "n", "doc_id").mapInArrow(_shared, SHARED))
+    shared = cut(prefixes.repartition(parts, "shingle").sortWithinPartitions("shingle", "n", "doc_id").mapInArrow(trimmed(_shared), SHARED))
     release(spark)
     wanted = cut(shared.select("doc_id").distinct())
     n_wanted = wanted.count()
     if n_wanted:
-        bits = cut(sized_join(texts, wanted, "doc_id", "left_semi", n_wanted).mapInArrow(_bits, BITS))
+        bits = cut(sized_join(texts, wanted, "doc_id", "left_semi", n_wanted).mapInArrow(trimmed(_bits), BITS))
         pairs = shared.filter("doc_id <> center").select(F.least("doc_id", "center").alias("a"), F.greatest("doc_id", "center").alias("b")).distinct()
         stars = cut(bounded(pairs, bits))
         # Each document's nearest centre first; then only star pairs that this leaves between two components.

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut
+from .common import crc_mod, cut, trimmed
 
 SAMPLE = 20_000
 #: Shares of the class's own covariance, the pooled one and the diagonal to try.
@@ -91,7 +91,7 @@ def features(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(measure, "doc_id bigint, x array<double>")
+    return rows.mapInArrow(trimmed(measure), "doc_id bigint, x array<double>")
 
 
 def forward_substitution(lower: np.ndarray, b: np.ndarray) -> np.ndarray:
