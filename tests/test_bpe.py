@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import BpeModel, train_bpe, train_bpe_distributed
 from corpusloom.functions import text as T
+from corpusloom.operators import bpe
 from corpusloom.operators.bpe import independent, joined, merge_loop
 from corpusloom.sources import artifacts
 from corpusloom.streaming.encode import encode_stream, flush, prefix
@@ -76,6 +77,61 @@ def test_distributed_training_equals_local(spark):
         assert (model.merges, model.counts) == (local.merges, local.counts)
 
 
+def test_local_training_fits_the_driver(spark, monkeypatch):
+    """The loop's arrays take at most a third of the heap of any driver; beyond that the rounds train, with the same result."""
+    import tracemalloc
+
+    import numpy as np
+
+    words, size = np.random.default_rng(1), 1 << 20
+    lengths = np.full(size // 8, 8)
+    tracemalloc.start()
+    bpe.Symbols(words.integers(97, 123, size, np.uint8), lengths, np.ones(len(lengths), np.int64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    heap = spark.sparkContext._jvm.java.lang.Runtime.getRuntime().maxMemory()
+    assert bpe.local_bytes(spark) * peak / size <= heap / 3
+    docs, seen = frame(spark, [*TEXTS, *["aaaa"] * 10]), []
+    local = train_bpe(docs, 272)
+    rounds = bpe.train_bpe_distributed
+    monkeypatch.setattr(bpe, "train_bpe_distributed", lambda *a, **k: seen.append(1) or rounds(*a, **k))
+    assert train_bpe(docs, 272).merges == local.merges and not seen
+    monkeypatch.setattr(bpe, "LOCAL_COST", heap)
+    far = train_bpe(docs, 272)
+    assert (far.merges, far.counts, seen) == (local.merges, local.counts, [1])
+
+
+@pytest.mark.parametrize("dense, held", [(512, 1 << 20), (0, 1 << 20), (0, 2)])
+@settings(max_examples=60, deadline=None)
+@given(words=st.lists(st.tuples(st.text("abc", max_size=12), st.integers(1, 1 << 40)), max_size=10), n=st.integers(1, 14))
+def test_rounds_over_blocks_equal_recounting(dense, held, words, n):
+    import pyarrow as pa
+
+    def batch(part):
+        return pa.RecordBatch.from_arrays([pa.array([w.encode() for w, _ in part], pa.binary()), pa.array([c for _, c in part], pa.int64())], ["w", "cnt"])
+
+    names, found, merges = [f"{b:02x}" for b in range(256)], [], []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(bpe, "DENSE", dense)
+        m.setattr(bpe, "HELD_SUMS", held)
+        blocks = list(bpe.word_blocks([batch(words[:4]), batch(words[4:])]))
+        while len(found) < n:
+            counts = {}
+            for b in bpe.pair_sums(blocks, merges, names):
+                for r in b.to_pylist():
+                    counts[r["l"], r["r"]] = counts.get((r["l"], r["r"]), 0) + r["n"]
+            if not counts:
+                break
+            left, right = max(counts, key=lambda p: (counts[p], p))
+            found.append((bytes.fromhex(left), bytes.fromhex(right), counts[left, right]))
+            if left + right not in names:
+                names.append(left + right)
+            merges.append((names.index(left), names.index(right), names.index(left + right)))
+            if len(merges) == 3:
+                blocks, merges = list(bpe.merged_blocks(blocks, merges)), []
+    assert found == naive_merges([(w.encode(), c) for w, c in words], n)
+
+
 def plain_encode(model, text):
     """Ids by trying the merges one after the other on every pretoken."""
     import regex
