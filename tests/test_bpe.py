@@ -239,6 +239,23 @@ def test_round_trip(spark):
         assert row.decoded == row.text
 
 
+def test_decoding_holds_one_row_of_numbers():
+    """The numbers of a whole batch take many times the memory of its ids."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    vocab = {k: b"x" for k in range(300, 2000)}
+    rows = pa.array([[k % 1000 + 500 for k in range(5000)]] * 200 + [None, []], pa.list_(pa.int32()))
+    tracemalloc.start()
+    got = bpe.decoded_rows(vocab, rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist() == [b"x" * 5000] * 200 + [None, b""] and peak < 4 << 20
+    with pytest.raises(KeyError):
+        bpe.decoded_rows(vocab, pa.array([[5]], pa.list_(pa.int32())))
+
+
 def test_pretokens_tile_and_split(spark):
     text = "Isn't 3km far?!  Yes,\t\tso it's"
     got = frame(spark, [text]).select(T.pretokens(F.col("text")).alias("p")).first().p
