@@ -6,7 +6,7 @@ private-use separator goes before its last character.
 
 from __future__ import annotations
 
-from .queries import CHUNK, D, FF, HEADS, MERGES
+from .queries import CHUNK, D, FF, HEADS, MERGES, VOCABULARY
 
 # Fixed value: the characters of Unicode's White_Space.
 WHITE = r"\t\n\x0b\x0c\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -41,6 +41,29 @@ rec AS (
 merges AS (SELECT DISTINCT it AS rank, l, r, n FROM rec)"""
 
 
+def segmented(n_merges: int, window: int = 1000) -> str:
+    """CTE st(k, w, n): the pretokens k with their symbols w after this many merges; the row of '' counts them.
+
+    A round merges the pairs in order (y: count, then names) as long as nothing
+    that earlier ones of the round can give rise to (z: the greatest name that a
+    pair beside them can take, with its count) comes before the next one.
+    """
+    key = "lpad({}::VARCHAR, 18, '0') || ' ' || {} || ' ' || {}".format
+    best = "(SELECT {} AS x, max({}) AS e FROM {} GROUP BY ALL)".format
+    return f"""st(k, w, n) USING KEY (k) AS (
+  SELECT pretoken, regexp_replace({HEXED}, '(..)', '<\\1>', 'g'), cnt::BIGINT FROM counts UNION ALL SELECT '', '', 0
+  UNION
+  (WITH now AS MATERIALIZED (SELECT k, w, n FROM recurring.st WHERE k = '' OR contains(w, '><')),
+   p AS MATERIALIZED (SELECT q[1] AS l, q[2] AS r, sum(n)::BIGINT AS n FROM (SELECT unnest(list_zip(t[:-2], t[2:])) AS q, n FROM (SELECT string_split(w[2:-2], '><') AS t, n FROM now WHERE k <> '')) GROUP BY ALL),
+   top AS MATERIALIZED (SELECT *, {key("n", "l", "r")} AS y FROM p WHERE n >= (SELECT min(n) FROM (SELECT n FROM p ORDER BY n DESC LIMIT {window}))),
+   grown AS MATERIALIZED (SELECT l, r, {key("n", "greatest(l, a.e)", "greatest(r, b.e)")} AS z FROM top LEFT JOIN {best("r", "l || r", "top")} a ON a.x = l LEFT JOIN {best("l", "l || r", "top")} b ON b.x = r),
+   bound AS (SELECT l, r, y, greatest(a.e, b.e) AS z FROM top LEFT JOIN {best("r", "z", "grown")} a ON a.x = l LEFT JOIN {best("l", "z", "grown")} b ON b.x = r),
+   safe AS (SELECT l, r, y, row_number() OVER (ORDER BY y DESC) AS i, max(z) OVER (ORDER BY y DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS z FROM bound),
+   fold AS MATERIALIZED (SELECT list(struct_pack(a := '<' || l || '><' || r || '>', b := '<' || l || r || '>') ORDER BY y DESC) AS m FROM safe WHERE (z IS NULL OR y > z) AND i <= {n_merges} - (SELECT n FROM now WHERE k = '')),
+   new AS (SELECT k, w, n, list_reduce(list_prepend(struct_pack(a := w, b := ''), m), lambda acc, x: struct_pack(a := replace(acc.a, x.a, x.b), b := '')).a AS v FROM now, fold WHERE k <> '' AND m IS NOT NULL)
+   SELECT k, v, n FROM new WHERE v <> w UNION ALL SELECT '', '', n + len(m) FROM now, fold WHERE k = '' AND m IS NOT NULL))"""
+
+
 def vocab(specials: tuple[str, ...] = ()) -> str:
     extra = "".join(f" UNION ALL SELECT {256 + k}, lower(hex(encode('{s}')))" for k, s in enumerate(specials))
     first = 256 + len(specials)
@@ -183,7 +206,10 @@ SELECT c.conv_id, c.turn, (coalesce(n, 0) + 1)::INT AS n_tokens, 256 AS last_id,
         "decode_invalid_utf8": "SELECT * FROM (VALUES (0, chr(65533), true), (1, 'a' || chr(65533), true), (2, chr(65533) || 'x', true), (3, 'é', false)) t(k, decoded, invalid)",
         "token_stream_stats": f"{STREAM} SELECT count(*) AS n_tokens, coalesce(min(token_id), 0) AS min_id, coalesce(max(token_id), 0) AS max_id FROM stream",
         "token_stream_sha256": f"{STREAM} SELECT doc_id, sha256(unhex(coalesce(array_to_string(list_transform(ids, lambda i: lpad(lower(to_hex(i % 256)), 2, '0') || lpad(lower(to_hex(i // 256)), 2, '0')), ''), ''))) AS sha256 FROM {ALL_DOCS}",
-        "compression_ratio": f"{STREAM} SELECT lang, sum(strlen(text))::BIGINT AS n_bytes, sum(len(ids))::BIGINT AS n_tokens, round(sum(strlen(text)) / nullif(sum(len(ids)), 0), 6) AS bytes_per_token FROM {ALL_DOCS} GROUP BY lang",
+        "compression_ratio": f"""WITH RECURSIVE {COUNTS}, {segmented(VOCABULARY - 256)},
+b AS (SELECT lang, sum(strlen(text))::BIGINT AS n_bytes FROM documents GROUP BY lang),
+t AS (SELECT lang, sum(len(string_split(w[2:-2], '><')))::BIGINT AS n_tokens FROM (SELECT lang, unnest({pretokens('text')}) AS k FROM documents) JOIN st USING (k) GROUP BY lang)
+SELECT b.lang, n_bytes, coalesce(n_tokens, 0) AS n_tokens, round(n_bytes / nullif(n_tokens, 0), 6) AS bytes_per_token FROM b LEFT JOIN t ON b.lang IS NOT DISTINCT FROM t.lang""",
         "cross_corpus_compression": f"""{encoded(f"SELECT unnest({pretokens('t')}) AS p FROM ({every})")},
 n AS (SELECT corpus, sum(len(ids)) AS k FROM (SELECT corpus, unnest({pretokens('t')}) AS pretoken FROM ({every})) JOIN enc USING (pretoken) GROUP BY corpus),
 b AS (SELECT corpus, sum(strlen(t)) AS s FROM ({every}) GROUP BY corpus)
